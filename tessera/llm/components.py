@@ -1,0 +1,37 @@
+"""Connected components of an edge table by repeated contraction, all in joins and aggregates."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Rows ``(node, root)`` for every node of ``edges``; ``root`` is one node of its component, the same for all of it.
+
+    Each round hooks every node to its smallest neighbour, flattens the forest by pointer jumping and contracts the
+    edges to the roots, so the number of nodes at least halves in every component. Every round is written to the shared
+    folder. Nulls and loops are ignored; an empty table gives an empty result.
+    """
+    live = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
+    maps: list[DataFrame] = []
+    while not live.isEmpty():
+        both = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hook = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")), "cc-hook")
+        while True:
+            up = hook.select(F.col("node").alias("root"), F.col("root").alias("top"))
+            jumped = cut(hook.join(up, "root").select("node", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")), "cc-jump")
+            hook = jumped.select("node", "root")
+            if jumped.where("moved").isEmpty():
+                break
+        maps.append(hook)
+        to = lambda c: hook.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+        live = cut(live.join(to("a"), "a").join(to("b"), "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "cc-edges")
+    if not maps:
+        return live.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out = maps[0]
+    for later in maps[1:]:
+        out = out.join(later.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return cut(out, "cc-roots") if len(maps) > 1 else out
