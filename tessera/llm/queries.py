@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .simhash_dedup import op1_simhash_pivots
+from .token_output import op7_dac_tokens
 
 QUERIES = {
     "op1_simhash_pivots": op1_simhash_pivots,
+    "op7_dac_tokens": op7_dac_tokens,
 }
 
 ORACLE_SQL: dict[str, str] = {}
