@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from . import license_scan
+from .license_scan import op5_template_join
+from .secret_scan import op10_decoding_worklist
 from .simhash_dedup import op1_simhash_pivots
 from .token_output import op7_dac_tokens
 
 QUERIES = {
     "op1_simhash_pivots": op1_simhash_pivots,
+    "op5_template_join": op5_template_join,
     "op7_dac_tokens": op7_dac_tokens,
+    "op10_decoding_worklist": op10_decoding_worklist,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_template_join": license_scan.oracle_sql(),
+}
