@@ -30,7 +30,7 @@ from .common import bounded_batches, shared_dir, table
 
 END_ID = 1
 SEGMENT_TOKENS = 1 << 16
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 _BLOCK = 512
 _encoders: dict[str, WordCachingEncoder] = {}
 
@@ -49,53 +49,62 @@ def _byte_letters() -> list[str]:
 
 
 #: Words of these letters are one pre-token whatever stands around them, and their lower case has no special rules.
-_PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+_LETTERS = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+_PLAIN = re.compile(f"[A-Z{_LETTERS}]+")
+_NOT_FOLDABLE = re.compile("[^\u0000-\u012f\u0131-\u017f\u2000-\u206f]")
+_MIXED_MARKS = re.compile(f"[^ 0-9{_LETTERS}][.,] ")
 
 
 class WordCachingEncoder:
     """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``.
 
-    This vocabulary's pre-tokenizer never lets a token span white space, so a text's ids are the ids of its
-    space-separated pieces. Plain words (with full stops or commas after them) go straight to the library's BPE model,
-    all other pieces to its whole pipeline. Ids of pieces are kept between texts, at most ``limit`` before each text.
+    This vocabulary lower-cases and its pre-tokenizer never lets a token span white space, so a text's ids are the ids of
+    its space-separated pieces, and lower-casing it or setting a word's full stop or comma apart changes none of them.
+    Plain words go straight to the library's BPE model, all other pieces to its whole pipeline. Ids of pieces are kept
+    between texts in two generations of about ``limit`` pieces; pieces in use move to the younger one.
     """
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known, self.cores = Tokenizer.from_file(path), limit, {"": b""}, {}
+        self.tokenizer, self.limit, self.known, self.older = Tokenizer.from_file(path), limit, {"": b""}, {}
         self.model, self.letters = self.tokenizer.model, dict(enumerate(_byte_letters()))
 
     def _whole(self, piece: str) -> bytes:
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _core(self, word: str) -> bytes:
-        if word not in self.cores:
-            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            self.cores[word] = np.array([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes()
-        return self.cores[word]
-
-    def _piece(self, piece: str) -> bytes:
-        word = piece.rstrip(".,")
-        if not _PLAIN.fullmatch(word):
-            return self._whole(piece)
-        tail = piece[len(word) :]
-        if tail and tail not in self.known:
-            self.known[tail] = self._whole(tail)
-        return self._core(word.lower()) + (self.known[tail] if tail else b"")
+    def _learn(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            word = piece.rstrip(".,")
+            if not _PLAIN.fullmatch(word):
+                ids = self._whole(piece)
+            elif word != piece or not word.islower():
+                ids = self.ids(word.lower()) + (self.ids(piece[len(word) :]) if word != piece else b"")
+            else:
+                shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+                ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
+        self.known[piece] = ids
+        return ids
+
+    def ids(self, piece: str) -> bytes:
+        found = self.known.get(piece)
+        return self._learn(piece) if found is None else found
 
     def encode(self, text: str | None) -> np.ndarray:
-        pieces = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        text = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        if "<|" not in text and not _NOT_FOLDABLE.search(text):  # "<|" may start a special token, which is read as written
+            text = text.lower()
+            if not _MIXED_MARKS.search(text):
+                text = text.replace(", ", " , ").replace(". ", " . ")
+        pieces = text.split(" ")
         if len(self.known) > self.limit:
-            self.known = {"": b""}
-        if len(self.cores) > self.limit:
-            self.cores = {}
+            self.known, self.older = {"": b""}, self.known
         known = self.known
-        for p in set(pieces):
-            if p not in known:
-                known[p] = self._piece(p)
-        return np.frombuffer(b"".join(map(known.__getitem__, pieces)), dtype="<u4")
+        for p in [p for p in set(pieces) if p not in known]:
+            self._learn(p)
+        return np.frombuffer(b"".join([known[p] for p in pieces]), dtype="<u4")
 
 
 def encoder(path: str) -> WordCachingEncoder:
@@ -215,7 +224,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str | None = None,
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """Per document of a written dataset: doc_id, start, n_tokens (with the end id), ids_crc32."""
     segments = spark.read.schema(_SEGMENTS).parquet(path)
-    totals = segments.groupBy("part").agg(F.sum("n_tokens").alias("total"))  # a row for each part
+    totals = segments.groupBy("part").agg(F.sum("n_tokens").alias("total"))
+    # A row for each part, however many tokens they hold.
     bases = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +238,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in cols], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return segments.join(bases, "part").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return segments.join(F.broadcast(bases), "part").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def token_digest(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
