@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import license_scan
+from . import decontaminate, license_scan
+from .decontaminate import op4_containment_search
 from .license_scan import op5_template_join
 from .secret_scan import op10_decoding_worklist
 from .simhash_dedup import op1_simhash_pivots
@@ -10,11 +11,13 @@ from .token_output import op7_dac_tokens
 
 QUERIES = {
     "op1_simhash_pivots": op1_simhash_pivots,
+    "op4_containment_search": op4_containment_search,
     "op5_template_join": op5_template_join,
     "op7_dac_tokens": op7_dac_tokens,
     "op10_decoding_worklist": op10_decoding_worklist,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_containment_search": decontaminate.oracle_sql(),
     "op5_template_join": license_scan.oracle_sql(),
 }
