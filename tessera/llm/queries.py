@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import decontaminate, license_scan
 from .decontaminate import op4_containment_search
 from .license_scan import op5_template_join
+from .line_dedup import op8_fuzzy_lines
 from .secret_scan import op10_decoding_worklist
 from .simhash_dedup import op1_simhash_pivots
 from .token_output import op7_dac_tokens
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_containment_search": op4_containment_search,
     "op5_template_join": op5_template_join,
     "op7_dac_tokens": op7_dac_tokens,
+    "op8_fuzzy_lines": op8_fuzzy_lines,
     "op10_decoding_worklist": op10_decoding_worklist,
 }
 
