@@ -50,7 +50,10 @@ def _byte_letters() -> list[str]:
 
 #: Words of these letters are one pre-token whatever stands around them, and their lower case has no special rules.
 _LETTERS = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
-_PLAIN = re.compile(f"[A-Z{_LETTERS}]+")
+_PLAIN = re.compile(f"[{_LETTERS}]+")
+#: Pre-tokens of pieces made of such letters, digits and ASCII marks other than the apostrophe.
+_PARTS = re.compile(f"[A-Z{_LETTERS}]+|[0-9]|[!-&(-/:-@\\[-`{{-~]+")
+_SIMPLE = re.compile(f"[A-Z0-9{_LETTERS}!-&(-/:-@\\[-`{{-~]+")
 _NOT_FOLDABLE = re.compile("[^\u0000-\u012f\u0131-\u017f\u2000-\u206f]")
 _MIXED_MARKS = re.compile(f"[^ 0-9{_LETTERS}][.,] ")
 
@@ -77,14 +80,13 @@ class WordCachingEncoder:
     def _learn(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
-            word = piece.rstrip(".,")
-            if not _PLAIN.fullmatch(word):
-                ids = self._whole(piece)
-            elif word != piece or not word.islower():
-                ids = self.ids(word.lower()) + (self.ids(piece[len(word) :]) if word != piece else b"")
-            else:
-                shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            if _PLAIN.fullmatch(piece):
+                shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
                 ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
+            elif "<|" not in piece and _SIMPLE.fullmatch(piece) and (parts := _PARTS.findall(piece.lower())) != [piece]:
+                ids = b"".join([self.ids(p) for p in parts])
+            else:
+                ids = self._whole(piece)
         self.known[piece] = ids
         return ids
 
