@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import decontaminate, license_scan
 from .decontaminate import op4_containment_search
+from .language_id import op3_byte_gru
 from .license_scan import op5_template_join
 from .line_dedup import op8_fuzzy_lines
 from .secret_scan import op10_decoding_worklist
@@ -12,6 +13,7 @@ from .token_output import op7_dac_tokens
 
 QUERIES = {
     "op1_simhash_pivots": op1_simhash_pivots,
+    "op3_byte_gru": op3_byte_gru,
     "op4_containment_search": op4_containment_search,
     "op5_template_join": op5_template_join,
     "op7_dac_tokens": op7_dac_tokens,
