@@ -7,12 +7,14 @@ from .decontaminate import op4_containment_search
 from .language_id import op3_byte_gru
 from .license_scan import op5_template_join
 from .line_dedup import op8_fuzzy_lines
+from .quality import op2_fourier_quality
 from .secret_scan import op10_decoding_worklist
 from .simhash_dedup import op1_simhash_pivots
 from .token_output import op7_dac_tokens
 
 QUERIES = {
     "op1_simhash_pivots": op1_simhash_pivots,
+    "op2_fourier_quality": op2_fourier_quality,
     "op3_byte_gru": op3_byte_gru,
     "op4_containment_search": op4_containment_search,
     "op5_template_join": op5_template_join,
