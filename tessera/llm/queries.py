@@ -7,6 +7,7 @@ from .decontaminate import op4_containment_search
 from .language_id import op3_byte_gru
 from .license_scan import op5_template_join
 from .line_dedup import op8_fuzzy_lines
+from .mixing import op6_soft_mixing
 from .quality import op2_fourier_quality
 from .secret_scan import op10_decoding_worklist
 from .simhash_dedup import op1_simhash_pivots
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_byte_gru": op3_byte_gru,
     "op4_containment_search": op4_containment_search,
     "op5_template_join": op5_template_join,
+    "op6_soft_mixing": op6_soft_mixing,
     "op7_dac_tokens": op7_dac_tokens,
     "op8_fuzzy_lines": op8_fuzzy_lines,
     "op10_decoding_worklist": op10_decoding_worklist,
