@@ -12,6 +12,7 @@ from .quality import op2_fourier_quality
 from .secret_scan import op10_decoding_worklist
 from .simhash_dedup import op1_simhash_pivots
 from .token_output import op7_dac_tokens
+from .topk_search import op9_blockmax_bm25
 
 QUERIES = {
     "op1_simhash_pivots": op1_simhash_pivots,
@@ -22,6 +23,7 @@ QUERIES = {
     "op6_soft_mixing": op6_soft_mixing,
     "op7_dac_tokens": op7_dac_tokens,
     "op8_fuzzy_lines": op8_fuzzy_lines,
+    "op9_blockmax_bm25": op9_blockmax_bm25,
     "op10_decoding_worklist": op10_decoding_worklist,
 }
 
