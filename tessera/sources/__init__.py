@@ -1,0 +1,5 @@
+"""Tables and logs as DataFrames with explicit schemas."""
+
+from .readers import events, read_door_log, read_table
+
+__all__ = ["events", "read_door_log", "read_table"]
