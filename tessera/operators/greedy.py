@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import islands
@@ -41,6 +43,25 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((match[j] - 1, j - 1) for j in range(1, m + 1) if match[j])
 
 
+def per_group(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``fn`` on every group of ``keys``; many small groups share a task and are streamed through it in order."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for f in frames:
+            f = f if held is None else pd.concat([held, f], ignore_index=True)
+            if not len(f):
+                continue
+            new = np.flatnonzero((f[keys] != f[keys].shift()).any(axis=1).to_numpy())
+            if len(new) > 1:
+                yield pd.concat([fn(f.iloc[a:b]) for a, b in zip(new[:-1], new[1:], strict=True)], ignore_index=True)
+            held = f.iloc[new[-1] :].reset_index(drop=True)
+        if held is not None:
+            yield fn(held)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
 def match_events(left: DataFrame, right: DataFrame, keys: list[str], ident: str, time: str, tolerance: int) -> DataFrame:
     """One-to-one pairs of two event tables within ``tolerance``: as many as possible, then the closest.
 
@@ -48,6 +69,8 @@ def match_events(left: DataFrame, right: DataFrame, keys: list[str], ident: str,
     """
     both = left.select(*keys, F.col(ident).alias("id"), F.col(time).alias("t"), F.lit(0).alias("side")).unionByName(right.select(*keys, F.col(ident).alias("id"), F.col(time).alias("t"), F.lit(1).alias("side")))
     cut = islands(both.withColumn("t2", F.col("t")), keys, "t", "t2", tolerance, ["side", "id"])
+    whole = Window.partitionBy(*keys, "island")
+    cut = cut.withColumn("lo", F.min("side").over(whole)).withColumn("hi", F.max("side").over(whole)).where("lo < hi")
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["t", "id"])
@@ -57,7 +80,7 @@ def match_events(left: DataFrame, right: DataFrame, keys: list[str], ident: str,
         pairs = [(i, j) for i, j in assignment(np.where(d <= tolerance, d, far)) if d[i, j] <= tolerance]
         return pd.DataFrame({"left_id": [a["id"].iloc[i] for i, _ in pairs], "right_id": [b["id"].iloc[j] for _, j in pairs], "distance": [int(d[i, j]) for i, j in pairs]})
 
-    return cut.groupBy(*keys, "island").applyInPandas(run, "left_id bigint, right_id bigint, distance bigint")
+    return per_group(cut.select(*keys, "island", "id", "t", "side"), [*keys, "island"], ["t", "id"], run, "left_id bigint, right_id bigint, distance bigint")
 
 
 def suppress(df: DataFrame, keys: list[str], ident: str, time: str, score: str, spacing: int) -> DataFrame:
@@ -76,7 +99,9 @@ def suppress(df: DataFrame, keys: list[str], ident: str, time: str, score: str,
         return f[keep][[*keys, ident, time, score]]
 
     fields = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in [*keys, ident, time, score])
-    return cut.groupBy(*keys, "island").applyInPandas(run, fields)
+    cut = cut.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "island")))
+    alone = cut.where("_n = 1").select(*keys, ident, time, score)
+    return alone.unionByName(per_group(cut.where("_n > 1").select(*keys, "island", ident, time, score), [*keys, "island"], [time, ident], run, fields))
 
 
 def online_people(df: DataFrame, keys: list[str], ident: str, vector: str, gate: float, nearest: int = 3) -> DataFrame:

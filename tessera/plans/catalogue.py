@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import event_sequences
+from . import event_sequences, joins, scoring
 
-_ALL = {**event_sequences.QUERIES}
+_ALL = {**event_sequences.QUERIES, **joins.QUERIES, **scoring.QUERIES}
 
 QUERIES = {name: run for name, (run, _) in _ALL.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in _ALL.items() if sql}
