@@ -67,7 +67,7 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     under their own id (a null item_id included).
     """
     key = F.xxhash64("doc_id", "text").alias("row")
-    item = items.select("item_id", word_array().alias("w")).where("size(w) > 0").withColumn("item", F.xxhash64("item_id", "w"))
+    item = items.select("item_id", word_array().alias("w")).where("size(w) > 0").withColumn("item", F.xxhash64("item_id", "w")).dropDuplicates(["item"])
     item = cut(item.withColumn("shingles", _shingle_texts()).transform(_hashed).select("item", "item_id", "shingles", "sh", F.size("shingles").alias("n_item")), "op4-items")
     sizes = item.agg(F.min("n_item").alias("least"), F.sum("n_item").alias("total")).first()
     spare = _spare_bits(math.ceil(threshold * sizes["least"] - 1e-9)) if sizes["least"] else 0
