@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import graph, greedy, vectors
+from ..operators import graph, greedy, tracking, vectors
 from ..sources import events, read_table
 from .event_sequences import DAY, EV, HOUR, MINUTE
 
@@ -309,6 +309,12 @@ def average_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return greedy.cannot_link_clusters(_buckets(spark, sf_dir), ["bucket"], "vec_id", "embedding", "camera", 0.5, average=True)
 
 
+def track_assoc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as one-dimensional detections (value over hours), joined into tracks within each type and day."""
+    seen = events(spark, sf_dir).select("event_type", F.floor(F.col("us") / DAY).alias("day"), "event_id", (F.col("us") / HOUR).alias("t"), F.col("value").alias("x"))
+    return tracking.track(seen, ["event_type", "day"], "event_id", "t", ["x"], 5.0, 10.0, 3.0, 2)
+
+
 QUERIES = {
     "prototypes": (prototypes, PROTOTYPES_SQL),
     "cosine_topk": (cosine_topk, TOPK_SQL),
@@ -336,4 +342,5 @@ QUERIES = {
     "online_people": (online_people, ""),
     "cannot_link_join": (cannot_link_join, ""),
     "average_linkage": (average_linkage, ""),
+    "track_assoc": (track_assoc, ""),
 }

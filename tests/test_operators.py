@@ -5,8 +5,8 @@ from itertools import permutations
 import numpy as np
 import pytest
 
-from tessera.operators import graph, greedy, intervals, overlay, sequences, temporal_joins
-from tessera.sources import read_door_log
+from tessera.operators import graph, greedy, intervals, overlay, sequences, temporal_joins, tracking
+from tessera.sources import read_door_log, write_export
 
 
 def _rows(df, *cols):
@@ -99,3 +99,18 @@ def test_overlay(spark):
 def test_door_log_skips_broken_lines(spark, tmp_path):
     (tmp_path / "log.jsonl").write_text('{"event_id": "a", "unix_ms": 1}\n{"event_id": "a", "unix_ms": 1}\n{"event_id": "b", "unix')
     assert _rows(read_door_log(spark, str(tmp_path)), "event_id") == [("a",)]
+
+
+def test_tracks_of_two_crossing_walkers(spark):
+    rows = [("c", 10 * t + k, float(t), float(t if k == 0 else 9 - t) * 2, float(k)) for t in range(10) for k in (0, 1)] + [("c", 999, 5.0, 500.0, 0.0)]
+    df = spark.createDataFrame(rows, "clip string, id bigint, t double, x double, y double")
+    got = {r["id"]: r["track"] for r in tracking.track(df, ["clip"], "id", "t", ["x", "y"], 2.5, 1.0, 2.0, 3).collect()}
+    assert all(got[10 * t + k] == k for t in range(10) for k in (0, 1)) and got[999] is None
+
+
+def test_exports_are_keyed_by_content(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None), (2, None)], "id bigint, v string")
+    path = write_export(df, str(tmp_path))
+    assert write_export(df.repartition(3).orderBy("v"), str(tmp_path)) == path
+    assert write_export(df.limit(2), str(tmp_path)) != path
+    assert spark.read.json(path).count() == 3
