@@ -40,6 +40,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def row_key(df: DataFrame) -> DataFrame:
-    """Add ``_row``: a 64-bit hash of every column; only wholly equal rows (bar hash collisions) share it."""
-    return df.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or the first of name_, name__, ... that isn't a column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_key(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` with a 64-bit hash of every column, and that column's name; only wholly equal rows (bar hash collisions) share it."""
+    name = free_name(df, "_row")
+    return df.withColumn(name, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])), name

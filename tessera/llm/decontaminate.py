@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, free_name, table
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -103,8 +103,9 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pipeline stage: the documents that hold no item, with all their columns."""
-    found = cut(contained_items(docs, items, threshold).select("row").distinct(), "op4-rows")
-    return docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(found, F.col("_row") == F.col("row"), "left_anti").select(*docs.columns)
+    key = free_name(docs, "_row")
+    found = cut(contained_items(docs, items, threshold).select(F.col("row").alias(key)).distinct(), "op4-rows")
+    return docs.withColumn(key, F.xxhash64("doc_id", "text")).join(found, key, "left_anti").select(*docs.columns)
 
 
 def op4_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table
+from .common import bounded_batches, free_name, table
 
 HIDDEN = 8
 STEPS = 64
@@ -149,7 +149,7 @@ class ByteGru:
 
 def training_windows(labelled: DataFrame, docs_each: int = SAMPLE_DOCS) -> list[tuple[str, bytes]]:
     """(lang, window) from about ``docs_each`` documents of each language, chosen by a hash of doc_id and text length."""
-    usable = labelled.where("lang is not null and text is not null and length(text) > 0")
+    usable = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null and length(text) > 0")
     counts = usable.groupBy("lang").count()
     share = F.least(F.lit(1.0), F.lit(1.25 * docs_each) / F.col("count"))
     picked = usable.join(F.broadcast(counts.select("lang", share.alias("share"))), "lang").where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 20)) < F.col("share") * (1 << 20))
@@ -172,8 +172,8 @@ def train(windows: list[tuple[str, bytes]]) -> ByteGru | None:
     return ByteGru(labels).fit(x, np.array([labels.index(lang) for lang, _ in windows]))
 
 
-def predict(docs: DataFrame, model: ByteGru | None, keep: list[str]) -> DataFrame:
-    """``keep`` columns, lang_pred and score. ``und`` with score 0 if the text is null or has no letter, or nothing was learned."""
+def predict(docs: DataFrame, model: ByteGru | None, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns, lang_pred and score (or other ``names`` for them). ``und`` with score 0 if the text is null or has no letter, or nothing was learned."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,10 +188,10 @@ def predict(docs: DataFrame, model: ByteGru | None, keep: list[str]) -> DataFram
                 score[at] = np.clip(p[np.arange(len(at)), best], 0, 1)
                 for i, k in zip(at, best, strict=True):
                     lang[i] = model.labels[k]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(lang, type=pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(lang, type=pa.string()), pa.array(score)], names=[*keep, *names])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{fields}, {names[0]} string, {names[1]} double")
 
 
 def _held_out():
@@ -210,9 +210,9 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame, least_score: float = 0.4) -> DataFrame:
     """Pipeline stage: documents whose language is one of the learned ones with at least ``least_score``; all columns stay."""
-    columns = docs.columns
-    kept = predict(docs, fit_on(docs), columns)
-    return kept.where((F.col("lang_pred") != NONE) & (F.col("score") >= least_score)).select(*columns)
+    names = free_name(docs, "_lang_pred"), free_name(docs, "_score")
+    kept = predict(docs, fit_on(docs), docs.columns, names)
+    return kept.where((F.col(names[0]) != NONE) & (F.col(names[1]) >= least_score)).select(*docs.columns)
 
 
 def op3_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, row_key, table
+from .common import bounded_batches, cut, free_name, row_key, table
 from .text_stats import NAMES, text_stats
 
 TARGETS = {"good": 0.9, "low": 0.07, "toxic": 0.03}
@@ -206,11 +206,13 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
 
 def apply_mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """Pipeline stage: every document as often as its ``copies`` say (none: it goes), with all its columns."""
-    keyed = row_key(docs)
-    rates = mixing_rates(keyed, labels, targets, keep=("_row",)).select("_row", "copies").where("copies <> 1").dropDuplicates(["_row"])
-    n = F.coalesce("copies", F.lit(1)).cast("int")
+    keyed, key = row_key(docs)
+    one = keyed.select("text", F.col(key).alias("row"), "doc_id")
+    rates = mixing_rates(one, labels, targets, keep=("row",)).where("copies <> 1").select(F.col("row").alias(key), "copies").dropDuplicates([key])
+    copies, number = free_name(keyed, "_copies"), free_name(keyed, "_copy")
+    n = F.coalesce(F.col(copies), F.lit(1)).cast("int")
     again = F.explode(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")))
-    return keyed.join(rates, "_row", "left").select(*docs.columns, again.alias("_copy")).select(*docs.columns)
+    return keyed.join(rates.withColumnRenamed("copies", copies), key, "left").select(*docs.columns, again.alias(number)).select(*docs.columns)
 
 
 def op6_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -211,19 +211,19 @@ def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
 
     Ties (one doc_id on several rows) go to the row with the smallest 64-bit row hash, nulls last; of wholly equal rows one stays.
     """
-    keyed = row_key(docs)
-    grouped = cut(_grouped(keyed.select("doc_id", "text", "_row"), ["doc_id", "_row"]), "op1-grouped")
-    order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "_row")
+    keyed, key = row_key(docs)
+    grouped = cut(_grouped(keyed.select("doc_id", "text", F.col(key).alias("row")), ["doc_id", "row"]), "op1-grouped")
+    order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")
     best = grouped.groupBy("root").agg(F.min(order).alias("best"), F.count("*").alias("n")).where("n > 1")
-    judged = grouped.join(best, "root").select("_row", (F.col("best._row") == F.col("_row")).alias("wins"))
-    verdict = cut(judged.groupBy("_row").agg(F.max("wins").alias("wins"), F.count("*").alias("n")), "op1-verdict")
-    lost = verdict.where("not wins").select("_row")
-    twice = verdict.where("wins and n > 1").select("_row")
-    alive = keyed.join(lost, "_row", "left_anti")
+    judged = grouped.join(best, "root").select("row", (F.col("best.row") == F.col("row")).alias("wins"))
+    verdict = cut(judged.groupBy("row").agg(F.max("wins").alias("wins"), F.count("*").alias("n")), "op1-verdict")
+    lost = verdict.where("not wins").select(F.col("row").alias(key))
+    twice = verdict.where("wins and n > 1").select(F.col("row").alias(key))
+    alive = keyed.join(lost, key, "left_anti")
     if twice.isEmpty():
         return alive.select(*docs.columns)
-    once = alive.join(twice, "_row", "left_anti")
-    return once.unionByName(alive.join(twice, "_row", "left_semi").dropDuplicates(["_row"])).select(*docs.columns)
+    once = alive.join(twice, key, "left_anti")
+    return once.unionByName(alive.join(twice, key, "left_semi").dropDuplicates([key])).select(*docs.columns)
 
 
 def op1_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 
 from tessera.llm import components, decontaminate, language_id, license_scan, line_dedup, mixing, quality, secret_scan, simhash_dedup, text_stats, token_output, topk_search
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, _row string, fp int, root int"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, _row string, score int, row int"
 WORDS = "the quick brown fox jumps over a lazy dog while many small birds sing above old green hills and rivers".split()
 
 
@@ -77,6 +77,7 @@ def test_one_document_of_each_group_stays(spark, rows):
     groups = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in simhash_dedup.simhash_groups(_docs(spark, rows)).collect()}
     ids = [r["doc_id"] for r in kept.collect()]
     assert Counter(ids) == Counter(set(groups.values()))
+    assert {(r["_row"], r["score"], r["row"]) for r in kept.collect()} == {("x", 1, 2)}
 
 
 def test_components_of_a_chain_and_a_star(spark):
@@ -180,7 +181,7 @@ def test_containment_matches_brute_force(spark, rows):
 def test_contaminated_documents_go(spark, rows):
     item = spark.createDataFrame([(0, " ".join(dict(rows)[18].split()[700:740]))], "item_id bigint, text string")
     kept = decontaminate.drop_contaminated(_docs(spark, rows), item)
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(d for d, _ in rows if d not in (18, 19))
+    assert Counter((r["doc_id"], r["_row"], r["row"]) for r in kept.collect()) == Counter((d, "x", 2) for d, _ in rows if d not in (18, 19))
     empty = decontaminate.drop_contaminated(_docs(spark, rows), spark.createDataFrame([], "item_id bigint, text string"))
     assert empty.count() == len(rows)
 
