@@ -116,19 +116,16 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Smallest reachable row for each of n rows, given links i-j."""
     label = np.arange(n)
     while len(i):
-        low = np.minimum(label[i], label[j])
-        before = label.copy()
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        np.minimum.at(label, before, label)
-        label = label[label]
+        a, b = label[i], label[j]  # roots: only these are hooked, so that a new label carries its whole tree
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = label[label]
+            if np.array_equal(up, label):
+                break
+            label = up
         live = label[i] != label[j]
         i, j = i[live], j[live]
-    while True:
-        up = label[label]
-        if np.array_equal(up, label):
-            return label
-        label = up
+    return label
 
 
 def link_sorted_cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

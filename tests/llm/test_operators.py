@@ -71,6 +71,23 @@ def test_links_of_close_fingerprints_are_never_missed(spark):
                 assert roots[a] == roots[b]
 
 
+def test_forest_keeps_paths_and_trees_whole():
+    rng = np.random.default_rng(11)
+    cases = [(7, [(2, 3), (2, 4), (3, 5), (4, 6), (1, 5), (0, 6)])]
+    for n in (2, 5, 7, 30, 200) * 40:
+        at = rng.permutation(n)
+        path = [(int(at[k]), int(at[k + 1])) for k in range(n - 1)]
+        tree = [(int(at[k]), int(at[rng.integers(k)])) for k in range(1, n)]
+        cases += [(n, path), (n, tree), (n, [x for x in tree if rng.random() < 0.8])]
+    for n, links in cases:
+        want = list(range(n))
+        while any(want[i] != want[j] for i, j in links):
+            for i, j in links:
+                want[i] = want[j] = min(want[i], want[j])
+        i, j = np.array(links, dtype=np.int64).reshape(-1, 2).T
+        assert simhash_dedup._forest(n, i, j).tolist() == want
+
+
 def test_one_document_of_each_group_stays(spark, rows):
     kept = simhash_dedup.keep_one_of_each_group(_docs(spark, rows))
     assert kept.columns == [c.split()[0] for c in SCHEMA.split(", ")]
