@@ -10,6 +10,10 @@ distances all lie near 32), which is why the tables are keyed by block coordinat
 
 A table cell is never expanded into all its pairs: cells are dealt out in chunks of about 512 fingerprints, every pair
 of chunks is compared in place, and only a spanning forest of the links leaves the task.
+
+The pipeline stage has another threshold: Jaccard similarity 0.8 of the sets of 5-word shingles. At that similarity two
+64-bit SimHashes differ in about 10 bits and in up to 20, where no bit blocks are left to meet by. The stage therefore
+finds its candidates by bands of shingle minima and verifies every one by the exact similarity of the shingle sets.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, cut, row_key, table
@@ -33,6 +37,11 @@ MAX_DISTANCE = 3
 BLOCK_PIVOTS = 16
 WIDE_PIVOTS = 8
 CHUNK = 512
+#: The pipeline stage: two texts are near copies if their sets of STAGE_WORDS-word shingles have this Jaccard similarity.
+STAGE_WORDS = 5
+STAGE_SIMILARITY = 0.8
+#: A pair at the threshold has no band in common with a probability of (1 - 0.8^4)^27 < 1e-6.
+BANDS, BAND_ROWS = 27, 4
 _SLICE = 65536
 
 
@@ -203,13 +212,104 @@ def _grouped(docs: DataFrame, keep: list[str]) -> DataFrame:
     return fps.join(known.join(lows, "root").select("fp", "root", "component_id"), "fp")
 
 
+def shingles(text: str | None, width: int = STAGE_WORDS) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles; one for all words if there are no more than ``width``, none without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, dtype=np.uint64)
+    norm, digest = b" ".join(words), xxhash.xxh64_intdigest
+    lens = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    ends = np.cumsum(lens + 1) - 1
+    n, width = max(1, len(words) - width + 1), min(width, len(words))
+    s, e = (ends - lens)[:n].tolist(), ends[width - 1 :].tolist()
+    return np.unique(np.fromiter((digest(norm[i:j], 42) for i, j in zip(s, e, strict=True)), dtype=np.uint64, count=n))
+
+
+def _bands(hashes: np.ndarray) -> np.ndarray:
+    """For sorted shingle hashes, BANDS keys of BAND_ROWS minima each."""
+    mul = np.random.default_rng(13).integers(0, 2**63, size=BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    low = np.full(len(mul), 2**64 - 1, dtype=np.uint64)
+    for at in range(0, len(hashes), 4096):
+        low = np.minimum(low, (hashes[at : at + 4096, None] * mul).min(axis=0))
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for x in low.reshape(BANDS, BAND_ROWS).T:
+        key = (key ^ x) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(32)
+    return key.view(np.int64)
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, set, n, bands): a hash of each text's shingle set, its size and band keys; no bands without words."""
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t) for t in b.column("text").to_pylist()]
+            ids = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], dtype=np.uint64).view(np.int64)
+            bands = pa.array([_bands(x) if len(x) else [] for x in sets], type=pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(ids), pa.array([len(x) for x in sets], type=pa.int64()), bands], names=["doc_id", "row", "set", "n", "bands"])
+
+    return docs.select("doc_id", "row", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row bigint, set bigint, n bigint, bands array<bigint>")
+
+
+def _shingle_arrays(texts: DataFrame) -> DataFrame:
+    """(set, sh): the shingle hashes themselves, for ``texts`` (set, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sh = pa.array([shingles(t).view(np.int64) for t in b.column("text").to_pylist()], type=pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("set"), sh], names=["set", "sh"])
+
+    return texts.select("set", "text").mapInArrow(run, "set bigint, sh array<bigint>")
+
+
+def _alike(a: str, b: str) -> Column:
+    """Whether the sizes of two sets allow the similarity."""
+    return F.least(a, b) >= F.lit(STAGE_SIMILARITY) * F.greatest(a, b) - 1e-9
+
+
+def _verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets whose Jaccard similarity is high enough."""
+    side = lambda c: arrays.select(F.col("set").alias(c), F.col("sh").alias(f"s{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("k", F.size(F.array_intersect("sa", "sb")))
+    return both.where(F.col("k") >= F.lit(STAGE_SIMILARITY) * (F.size("sa") + F.size("sb") - F.col("k")) - 1e-9).select("a", "b")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, root) for every row of ``docs`` (doc_id, row, text); near copies, also by way of others, share a root.
+
+    As in a line's groups, every member of a cell is first compared with the cell's leader; then only members still in
+    different groups are compared with each other, in pairs of chunks. Texts without words are copies of each other.
+    """
+    sets = cut(shingle_sets(docs), "near-sets")
+    distinct = cut(sets.groupBy("set").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("n_copies")), "near-distinct")
+    cells = cut(distinct.select(F.explode("bands").alias("cell"), "set", "n", "n_copies"), "near-cells")
+    full = cells.groupBy("cell").agg(F.count("*").alias("size"), F.max(F.struct("n_copies", "set", "n")).alias("lead")).where("size > 1")
+    met = cut(cells.join(full.select("cell", "size", F.col("lead.set").alias("lead"), F.col("lead.n").alias("lead_n")), "cell"), "near-met")
+    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    star = cut(met.where((F.col("set") != F.col("lead")) & _alike("n", "lead_n")).select(*pair("set", "lead")).distinct(), "near-star")
+    needed = distinct.join(met.select("set").distinct(), "set").select("set", "row")
+    arrays = cut(_shingle_arrays(docs.select("row", "text").join(needed, "row").dropDuplicates(["set"])), "near-arrays")
+    links = cut(_verified(star, arrays), "near-links")
+    joined = connected_components(links)
+    rooted = met.where("size > 2").select("cell", "set", "n").join(joined.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    mixed = rooted.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / CHUNK).cast("int").alias("parts")).where("low <> high").select("cell", "parts")
+    crowd = cut(rooted.join(mixed, "cell").withColumn("own", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int")), "near-crowd")
+    left = crowd.select("cell", F.col("own").alias("x"), F.explode(F.sequence(F.col("own"), F.col("parts") - 1)).alias("y"), "set", "n", "root")
+    right = crowd.select("cell", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("x"), F.col("own").alias("y"), F.col("set").alias("set2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
+    cross = left.join(right, ["cell", "x", "y"]).where((F.col("root") != F.col("root2")) & _alike("n", "n2")).select(*pair("set", "set2")).distinct()
+    more = cut(_verified(cross, arrays), "near-more")
+    roots = joined if more.isEmpty() else connected_components(links.union(more))
+    return sets.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").select("doc_id", "row", F.coalesce("root", "set").alias("root"))
+
+
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
     """Pipeline stage: the document with the smallest doc_id of every group stays, with all its columns.
 
     Ties (one doc_id on several rows) go to the row with the smallest 64-bit row hash, nulls last; of wholly equal rows one stays.
     """
     keyed, key = row_key(docs)
-    grouped = cut(_grouped(keyed.select("doc_id", "text", F.col(key).alias("row")), ["doc_id", "row"]), "op1-grouped")
+    grouped = cut(near_copies(keyed.select("doc_id", "text", F.col(key).alias("row"))), "op1-grouped")
     order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")
     best = grouped.groupBy("root").agg(F.min(order).alias("best"), F.count("*").alias("n")).where("n > 1")
     judged = grouped.join(best, "root").select("row", (F.col("best.row") == F.col("row")).alias("wins"))

@@ -97,6 +97,32 @@ def test_one_document_of_each_group_stays(spark, rows):
     assert {(r["_row"], r["score"], r["row"]) for r in kept.collect()} == {("x", 1, 2)}
 
 
+def test_near_copies_match_brute_force(spark):
+    rng = np.random.default_rng(21)
+    make = lambda n: [w + str(rng.integers(60)) for w in rng.choice(WORDS, n)]
+    texts = []
+    for n in (6, 60, 200, 400, 1000):
+        for _ in range(4):
+            base = make(n)
+            texts.append(base)
+            for changed in (1, 3, 6, 10, 20):
+                copy = list(texts[-1] if rng.random() < 0.5 else base)  # chains as well as stars
+                for at in rng.choice(n, min(n, changed), replace=False):
+                    copy[at] = "other" + str(rng.integers(9000))
+                texts.append(copy)
+    texts += [texts[7], ["one"], ["ONE"], []]
+    sets = [{tuple(x.lower() for x in w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in texts]
+    label, linked = list(range(len(sets))), 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]) - 1e-9:
+                linked += 1
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if v == old else v for v in label]
+    kept = simhash_dedup.keep_one_of_each_group(_docs(spark, [(k, " ".join(w)) for k, w in enumerate(texts)]))
+    assert linked > 40 and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(label))
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, k) for k in range(101, 130)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
