@@ -264,6 +264,24 @@ def test_mixing_meets_targets(spark):
     assert np.abs(share - target).max() < 5e-3
 
 
+@pytest.mark.parametrize("alpha", [(3, 1.5, 0.5), (2, 1.5, 1)])
+def test_mixing_meets_targets_with_soft_posteriors(spark, alpha):
+    rng = np.random.default_rng(14)
+    p, n = rng.dirichlet(alpha, 4000), rng.integers(1, 900, 4000)
+    rows = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "n bigint, p array<double>")
+    target = np.array([0.9, 0.07, 0.03])
+    history, share = mixing.fit_rates(rows, target)
+    r = mixing.rates_of(p, history)
+    assert (r >= 0).all() and np.abs((n * r) @ p / n.sum() - target).max() <= mixing.TOLERANCE * 1.01 and np.abs(share - target).max() <= mixing.TOLERANCE
+
+
+def test_mixing_reports_targets_out_of_reach(spark):
+    rows = spark.createDataFrame([(5, [0.6, 0.4]), (7, [0.5, 0.5])], "n bigint, p array<double>")
+    with pytest.warns(UserWarning, match="missed"):
+        _, share = mixing.fit_rates(rows, np.array([0.9, 0.1]))
+    assert share[0] < 0.9 - mixing.TOLERANCE
+
+
 def test_mixing_stage_keeps_columns_and_odd_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
