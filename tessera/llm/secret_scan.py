@@ -1,8 +1,10 @@
 """Secret scan with a recursive decoding worklist.
 
 Every text is scanned with the base patterns. Then layers are unwrapped from a worklist until nothing new appears: URL
-(%XX), Unicode (\\uXXXX, \\UXXXXXXXX, \\xXX, &#n;), base64 (both alphabets) and compressed bytes (zlib, gzip, bzip2) inside
-base64. Each new layer is scanned again and its matches are mapped back to the characters of the original text they came
+(%XX), Unicode (\\uXXXX, \\UXXXXXXXX, \\xXX, &#n;), base64 (both alphabets, from each of the four alignments, wrapped lines
+joined) and compressed bytes (zlib, gzip, bzip2, all members) inside base64. Bytes needn't be clean text: those outside UTF-8
+stand for themselves, and UTF-16 stretches are read too. Archives are read as streams, in windows that end where no match
+can go on. Each new layer is scanned again and its matches are mapped back to the characters of the original text they came
 from. A layer whose content was already seen at the same place is not opened again, which ends cycles such as an archive
 that unpacks to itself.
 """
@@ -11,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import bz2
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,14 +29,23 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: One unpacked archive may hold at most so many bytes; a larger one is reported as kind "oversize", not opened.
+#: Unpacked bytes are scanned in windows of about WINDOW bytes. A single stretch of an archive that a match could fill and that is
+#: longer than MAX_UNPACKED is reported as kind "oversize" as well: layers inside such a stretch may be cut.
+WINDOW = 1 << 22
 MAX_UNPACKED = 1 << 26
+_PIECE = 1 << 20
+_OVERLAP = 1 << 16
 
 _WORDS = ("passw", "secret", "token", "api")
 _URL = re.compile(r"%[0-9A-Fa-f]{2}")
 _UNICODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)*={0,2}")
 _MAGIC = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda", b"BZh")
+_ARCHIVE = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\x78[\x01\x5e\x9c\xda]")
+_TELLING = re.compile(rb"[A-Za-z0-9+/_.=-]{6}|%[0-9A-Fa-f]{2}|\\[uUx]|&#")  # every pattern and escape holds one of these
+_WIDE = re.compile(rb"(?:[\t\r\n\x20-\x7e]\x00){6,}|(?:\x00[\t\r\n\x20-\x7e]){6,}")
+_INSIDE = np.zeros(256, dtype=bool)  # bytes a match, an escape, wrapped base64 or UTF-16 may hold
+_INSIDE[np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-%\\&#;:'\"\x20\r\n\t\x00", dtype=np.uint8)] = True
 
 Span = tuple[str, int, int]
 
@@ -57,17 +69,14 @@ class _Layer:
         self.text, self.start, self.end, self.fresh, self.path = text, start, end, fresh, path
 
 
-def _from_bytes(raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[str, np.ndarray, np.ndarray] | None:
-    """Readable UTF-8 text of bytes with their origins; None if it isn't text."""
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    if not text or sum(c.isprintable() or c in "\t\r\n" for c in text) < len(text):
-        return None
-    heads = np.flatnonzero((np.frombuffer(raw, dtype=np.uint8) & 0xC0) != 0x80)
-    tails = np.append(heads[1:], len(raw)) - 1
-    return text, start[heads], end[tails]
+def _from_bytes(raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[str, np.ndarray, np.ndarray]:
+    """Bytes as UTF-8 with their origins; a byte outside UTF-8 becomes a character of its own."""
+    text = raw.decode("utf-8", "surrogateescape")
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    width = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
+    width[(codes >= 0xDC80) & (codes <= 0xDCFF)] = 1
+    tails = np.cumsum(width) - 1
+    return text, start[tails - width + 1], end[tails]
 
 
 def _substituted(layer: _Layer, pattern: re.Pattern, name: str, value) -> _Layer | None:
@@ -106,41 +115,119 @@ def _unicode(m: re.Match) -> str | None:
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
-def _unpacked(raw: bytes) -> bytes | None:
-    """One compressed layer less; None if the bytes aren't a whole archive, b"" if it is larger than MAX_UNPACKED."""
-    try:
-        if raw.startswith(b"BZh"):
-            d = bz2.BZ2Decompressor()
-            out = d.decompress(raw, MAX_UNPACKED + 1)
+def _unpacked(pieces: Iterator[bytes], used: list[int] | None = None) -> Iterator[bytes]:
+    """What the members of a compressed stream hold, as far as it can be read; ``used`` gets the bytes of whole members."""
+    d, data, fed = None, b"", 0
+    for piece in pieces:
+        data += piece
+        fed += len(piece)
+        while data:
+            if d is None:
+                if not data.startswith(_MAGIC):
+                    if len(data) < 3:
+                        break  # the next member's head may go on in the next piece
+                    return
+                d = bz2.BZ2Decompressor() if data.startswith(b"BZh") else zlib.decompressobj(47)
+            try:
+                out = d.decompress(data, _PIECE)
+                while out:
+                    yield out
+                    if d.eof:
+                        break
+                    data = b"" if isinstance(d, bz2.BZ2Decompressor) else d.unconsumed_tail
+                    out = d.decompress(data, _PIECE)
+            except (zlib.error, OSError, ValueError, EOFError):
+                return
+            data = d.unused_data if d.eof else b""
+            if d.eof:
+                d = None
+                if used is not None:
+                    used[:] = [fed - len(data)]
+
+
+def _stream(raw: memoryview, depth: int, used: list[int] | None = None) -> Iterator[bytes]:
+    """The bytes found ``depth`` compressed layers below ``raw``."""
+    out = iter(bytes(raw[k : k + _PIECE]) for k in range(0, len(raw), _PIECE))
+    for k in range(depth):
+        out = _unpacked(out, used if k == 0 else None)
+    return out
+
+
+def _windows(pieces: Iterator[bytes]) -> Iterator[tuple[bytes, bool]]:
+    """Windows of a stream, ending at bytes that no match goes across; True with those that had to be cut elsewhere."""
+    held, sought = b"", WINDOW
+    for piece in pieces:
+        held += piece
+        if len(held) < sought:
+            continue
+        b = np.frombuffer(held, dtype=np.uint8)
+        stop = ~_INSIDE[b]
+        stop[1:] |= (b[1:] == 0) & (b[:-1] == 0)
+        at = int(np.flatnonzero(stop)[-1]) + 1 if stop.any() else 0
+        if at:
+            yield held[:at], False
+            held, sought = held[at:], max(WINDOW, len(held) - at + _PIECE)
+        elif len(held) > MAX_UNPACKED:
+            yield held, True
+            held, sought = held[-_OVERLAP:], WINDOW
         else:
-            d = zlib.decompressobj(47)
-            out = d.decompress(raw, MAX_UNPACKED + 1)
-        return b"" if len(out) > MAX_UNPACKED else out if d.eof else None
-    except (zlib.error, OSError, ValueError, EOFError):
-        return None
+            sought = 2 * len(held)
+    if held:
+        yield held, False
+
+
+def _layers_of(raw: bytes, start: np.ndarray, end: np.ndarray, path: str) -> Iterator[_Layer]:
+    """Layers for decoded bytes: the bytes as UTF-8, and their UTF-16 stretches."""
+    if _TELLING.search(raw):
+        got = _from_bytes(raw, start, end)
+        yield _Layer(*got, np.ones(len(got[0]), dtype=bool), path)
+    if b"\x00" in raw:
+        for m in _WIDE.finditer(raw):
+            text = m.group().replace(b"\x00", b"").decode()
+            yield _Layer(text, start[m.start() : m.end() : 2], end[m.start() + 1 : m.end() : 2], np.ones(len(text), dtype=bool), path)
 
 
 def _opened(layer: _Layer, found: list[Span]) -> Iterator[_Layer]:
     """Layers inside base64 runs of a layer."""
     for m in _BASE64.finditer(layer.text):
-        run = m.group().rstrip("=").replace("-", "+").replace("_", "/")
-        if len(run) % 4 == 1:
-            continue
-        raw = base64.b64decode(run + "=" * (-len(run) % 4))
-        k = np.arange(len(raw))
-        start, end, path = layer.start[m.start() + k * 8 // 6], layer.end[m.start() + np.minimum((k * 8 + 7) // 6, len(run) - 1)], f"{layer.path}base64>"
-        seen = set()
-        while raw.startswith(_MAGIC) and raw not in seen:
-            seen.add(raw)
-            inner = _unpacked(raw)
-            if inner is None:
-                break
-            low, high, path = layer.start[m.start()], layer.end[m.end() - 1], f"{path}unpack>"
-            if not inner:
-                found.append((f"{path}oversize", int(low), int(high)))
-            raw, start, end = inner, np.full(len(inner), low), np.full(len(inner), high)
-        if got := _from_bytes(raw, start, end):
-            yield _Layer(*got, np.ones(len(got[0]), dtype=bool), path)
+        run, at = m.group().rstrip("="), None
+        if "\n" in run:
+            kept = np.array([i for i, c in enumerate(run) if c not in "\r\n\t "])
+            at, run = m.start() + kept, "".join(run.split())
+        run = run.replace("-", "+").replace("_", "/")
+        for skip in range(4):
+            part = run[skip : len(run) - ((len(run) - skip) % 4 == 1)]
+            raw = base64.b64decode(part + "=" * (-len(part) % 4))
+            heads = [x.start() for x in _ARCHIVE.finditer(raw)]
+            if not heads and not _TELLING.search(raw) and b"\x00" not in raw:
+                continue
+            k = np.arange(len(raw))
+            place = at if at is not None else np.arange(m.start(), m.start() + len(run))
+            start, end, path = layer.start[place[skip + k * 8 // 6]], layer.end[place[skip + np.minimum((k * 8 + 7) // 6, len(part) - 1)]], f"{layer.path}base64>"
+            yield from _layers_of(raw, start, end, path)
+            past = 0
+            for head in heads:
+                if head < past:
+                    continue
+                # a whole run that is an archive is reported whole, as is its last character's padding
+                low, high = int(start[head]), int(layer.end[m.end() - 1] if head == 0 and skip == 0 else end[-1])
+                seen, depth, inside, used = {raw[head : head + _PIECE]}, 1, path, []
+                while (first := next(_stream(memoryview(raw)[head:], depth), None)) is not None and first not in seen:
+                    seen.add(first)
+                    inside += "unpack>"
+                    for window, cut in _windows(_stream(memoryview(raw)[head:], depth, used)):
+                        if cut:
+                            found.append((f"{inside}oversize", low, high))
+                        yield from _layers_of(window, np.full(len(window), low), np.full(len(window), high), inside)
+                    depth += 1
+                if used:
+                    past = head + used[0]
+
+
+def _inner(layer: _Layer, found: list[Span]) -> Iterator[_Layer]:
+    new = [_substituted(layer, re.compile(f"(?:{_URL.pattern})+"), "url", _url) if "%" in layer.text else None, _substituted(layer, _UNICODE, "unicode", _unicode) if "\\" in layer.text or "&#" in layer.text else None]
+    yield from (x for x in new if x is not None and len(x.text))
+    yield from _opened(layer, found)
 
 
 def all_spans(text: str) -> list[Span]:
@@ -148,23 +235,23 @@ def all_spans(text: str) -> list[Span]:
     found: list[Span] = []
     base = base_spans(text)
     if "%" in text or "\\" in text or "&#" in text or _BASE64.search(text):
-        work, seen = [None], set()
-        while work:
-            layer = work.pop()
+        at = np.arange(len(text))
+        whole = _Layer(text, at, at + 1, np.zeros(len(text), dtype=bool), "")
+        work, seen = [iter([whole])], set()
+        while work:  # layers are made one at a time, so that a large archive is never held whole
+            layer = next(work[-1], None)
             if layer is None:
-                if not (_URL.search(text) or _UNICODE.search(text) or _BASE64.search(text)):
-                    break
-                at = np.arange(len(text))
-                layer = _Layer(text, at, at + 1, np.zeros(len(text), dtype=bool), "")
-            else:
+                work.pop()
+                continue
+            if layer is not whole:
+                key = (hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), int(layer.start[0]), int(layer.end[-1]))
+                if key in seen:
+                    continue
+                seen.add(key)
                 for kind, s, e in base_spans(layer.text):
                     if layer.fresh[s:e].any():
                         found.append((layer.path + kind, int(layer.start[s:e].min()), int(layer.end[s:e].max())))
-            new = [_substituted(layer, re.compile(f"(?:{_URL.pattern})+"), "url", _url) if "%" in layer.text else None, _substituted(layer, _UNICODE, "unicode", _unicode) if "\\" in layer.text or "&#" in layer.text else None, *_opened(layer, found)]
-            for x in new:
-                if x is not None and len(x.text) and (key := (x.text, int(x.start[0]), int(x.end[-1]))) not in seen:
-                    seen.add(key)
-                    work.append(x)
+            work.append(_inner(layer, found))
     rank = {k: i for i, k in enumerate(KINDS)}
     return sorted({*base, *found}, key=lambda x: (x[1], rank.get(x[0], len(KINDS)), x[0], x[2]))
 

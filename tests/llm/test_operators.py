@@ -1,6 +1,8 @@
 """Each operator against a brute-force version on small tables with nulls, ties, repeats, empty and odd texts."""
 
 import base64
+import bz2
+import gzip
 import math
 import zlib
 from collections import Counter
@@ -411,6 +413,48 @@ def test_secret_layers_reach_the_fixpoint():
     assert secret_scan.all_spans("") == [] and secret_scan.all_spans("%%% \\u00 &#xD800; AAAAAAAAAAAAAAAAAAAAA") == []
 
 
+def _in_base64(raw):
+    return base64.b64encode(raw).decode()
+
+
+SECRET = b"token = hunter2hunter2"
+
+
+@pytest.mark.parametrize("raw", [
+    "a\u00a0b\u200b\ufeff ".encode() + SECRET, b"\x1b[31m\x00" + SECRET, b"\xff\xfe\x80 " + SECRET + b" \xe9", SECRET.decode().encode("utf-16"), SECRET.decode().encode("utf-16-be"),
+])
+def test_secrets_in_layers_that_are_not_clean_text(raw):
+    assert any(k == "base64>assign" for k, _, _ in secret_scan.all_spans(f"see {_in_base64(raw)} end"))
+
+
+@pytest.mark.parametrize("before", ["id-", "a/", "ab_cd/", "xyz", "key/of-/"])
+def test_secrets_in_misaligned_base64(before):
+    text = f"see {before}{_in_base64(SECRET + b' and more')} end"
+    (span,) = [x for x in secret_scan.all_spans(text) if x[0] == "base64>assign"]
+    assert span[1] >= 4 + len(before)
+    assert any(k == "base64>unpack>assign" for k, _, _ in secret_scan.all_spans(f"see {before}{_in_base64(gzip.compress(SECRET))} end"))
+
+
+@pytest.mark.parametrize("columns", [64, 76])
+def test_secrets_in_wrapped_archives_of_several_members(columns):
+    noise = np.random.default_rng(0).integers(0, 256, 900, dtype=np.uint8).tobytes()
+    for pack in (gzip.compress, bz2.compress):
+        line = _in_base64(pack(noise) + pack(SECRET))
+        text = "see\n" + "\n".join(line[k : k + columns] for k in range(0, len(line), columns)) + "\nend."
+        assert any(k == "base64>unpack>assign" for k, _, _ in secret_scan.all_spans(text))
+
+
+def test_secrets_in_large_archives(monkeypatch):
+    for pad in (b"\0", b"word, ", b"word "):
+        raw = pad * ((secret_scan.MAX_UNPACKED + 5_000_000) // len(pad)) + b" " + SECRET
+        assert any(k == "base64>unpack>assign" for k, _, _ in secret_scan.all_spans(_in_base64(gzip.compress(raw, 1))))
+    monkeypatch.setattr(secret_scan, "WINDOW", 64)
+    monkeypatch.setattr(secret_scan, "_PIECE", 7)
+    for k in range(30):
+        raw = b"plain, " * 40 + b"x" * k + b" " + SECRET + b", plain" * 40
+        assert any(x == "base64>unpack>assign" for x, _, _ in secret_scan.all_spans(_in_base64(gzip.compress(raw))))
+
+
 def test_secret_scan_of_odd_rows(spark, rows):
     got = secret_scan.scan_secrets(_docs(spark, rows)).collect()
     assert len(got) == len(rows) and all(r["spans"] == [] for r in got)
