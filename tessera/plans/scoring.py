@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import graph, greedy, tracking, vectors
+from ..operators import graph, greedy, scratch, tracking, vectors
 from ..sources import events, read_table
 from .event_sequences import DAY, EV, HOUR, MINUTE
 
@@ -24,7 +24,7 @@ def _prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _label_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vec_id, own, label, d): the distance of every vector to its nearest prototype of every label, in 1e-6."""
-    protos = graph.cut_lineage(_prototypes(spark, sf_dir).select(F.col("label"), F.col("v").alias("p")), "prototypes")
+    protos = scratch.cut(_prototypes(spark, sf_dir).select(F.col("label"), F.col("v").alias("p")), "prototypes")
     if protos.count() <= BROADCAST_PROTOTYPES:
         protos = F.broadcast(protos)
     vecs = read_table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("own"), vectors.unit(F.col("embedding")).alias("v"))
