@@ -1,39 +1,23 @@
-"""Helpers shared by the training-data operators: the shared scratch folder, lineage cuts, row keys."""
+"""Helpers shared by the training-data operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
+from ..operators.scratch import cut, shared_dir
 
+__all__ = ["cut", "free_name", "row_key", "shared_dir", "small_batches", "table"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-tessera-")
-    return _own[app]
 
-
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: what follows neither recomputes it nor depends on
-    the executors that made it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what one Arrow batch of whole texts holds in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut to ``rows`` rows, which bounds what a Python worker makes of whole texts at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,7 +32,16 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    """A column's name, dots and all, as an expression."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def all_of(df: DataFrame) -> list:
+    return [F.col(quoted(c)) for c in df.columns]
+
+
 def row_key(df: DataFrame) -> tuple[DataFrame, str]:
-    """``df`` with a 64-bit hash of every column, and that column's name; only wholly equal rows (bar hash collisions) share it."""
+    """``df`` with a text of two 64-bit hashes of every column, and that column's name: only wholly equal rows share it."""
     name = free_name(df, "_row")
-    return df.withColumn(name, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])), name
+    return df.withColumn(name, F.concat(F.hex(F.xxhash64(*all_of(df))), F.lit("-"), F.hex(F.xxhash64(F.lit(1), *all_of(df))))), name

@@ -24,12 +24,12 @@ THRESHOLD = 0.8
 MISS = 1e-6
 #: Distinct item shingles up to which they are broadcast (16 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
-_NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def word_array(text: str | Column = "text") -> Column:
     """Lower-cased runs of letters and digits; null and empty texts give none."""
-    return F.array_remove(F.split(F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))), _NOT_WORD), "")
+    return F.array_remove(F.split(F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))), NOT_WORD), "")
 
 
 def _hashed(df: DataFrame) -> DataFrame:

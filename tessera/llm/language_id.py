@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, free_name, table
+from .common import free_name, small_batches, table
 
 HIDDEN = 8
 STEPS = 64
@@ -174,10 +174,9 @@ def train(windows: list[tuple[str, bytes]]) -> ByteGru | None:
 
 def predict(docs: DataFrame, model: ByteGru | None, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``keep`` columns, lang_pred and score (or other ``names`` for them). ``und`` with score 0 if the text is null or has no letter, or nothing was learned."""
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             texts = b.column("text").to_pylist()
             has = np.array([model is not None and bool(t) and _LETTER.search(t) is not None for t in texts], dtype=bool)
             lang, score = [NONE] * len(texts), np.zeros(len(texts))

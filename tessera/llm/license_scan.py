@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, table
+from .common import cut, small_batches, table
 
 THRESHOLD = 0.8
 
@@ -65,7 +65,7 @@ def _scan(docs: DataFrame, vocabulary: dict[bytes, int], required: int, rare: fr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary.keys()
-        for b in batches:
+        for b in small_batches(batches):
             rows = []
             for text in b.column("text").to_pylist():
                 lines = (text or b"").translate(_FOLD).split(b"\n")
@@ -99,7 +99,7 @@ def token_frequencies(docs: DataFrame, tokens: list[bytes]) -> dict[bytes, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        for b in batches:
+        for b in small_batches(batches):
             for text in b.column("text").to_pylist():
                 for line in (text or b"").translate(_FOLD).split(b"\n"):
                     counts.update(wanted & set(line.split()))
@@ -115,7 +115,6 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
     Null texts count as empty: no words, no places. Repeated rows are scanned again. Templates without words are ignored.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     sets = [(label, set(words(text.encode()))) for label, text in templates]
     sets = [(label, s) for label, s in sets if s]
     tokens = sorted(set().union(*(s for _, s in sets)) if sets else set())

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, free_name, row_key, table
+from .common import cut, free_name, row_key, small_batches, table
 from .text_stats import NAMES, text_stats
 
 TARGETS = {"good": 0.9, "low": 0.07, "toxic": 0.03}
@@ -92,7 +92,7 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, sample_docs: int = SAMP
     sample = cut(docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(picked), "doc_id").select("domain", "text"), "op6-sample")  # bounded: the sample
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             rows = [(d, w) for d, t in zip(b.column("domain").to_pylist(), b.column("text").to_pylist(), strict=True) for w in _words(t) if w]
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], type=pa.string()), pa.array([w for _, w in rows], type=pa.binary())], names=["domain", "word"])
 
@@ -111,7 +111,7 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, sample_docs: int = SAMP
     n = len(domains)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             x = [_features(t, lexicon, n).tolist() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("domain"), pa.array(x, type=pa.list_(pa.float64()))], names=["domain", "x"])
 
@@ -123,10 +123,9 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, sample_docs: int = SAMP
 
 def memberships(docs: DataFrame, model: Softmax, keep: list[str]) -> DataFrame:
     """``keep`` columns, ``n`` (tokens: words) and ``p`` (posterior of each domain) for every whole text; null counts as empty."""
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             texts = b.column("text").to_pylist()
             n = [len((t or b"").split()) for t in texts]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(n, type=pa.int64()), pa.array(model.posteriors(texts).tolist(), type=pa.list_(pa.float64()))], names=[*keep, "n", "p"])
@@ -222,10 +221,9 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
         rated = docs.select(*keep, F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")).cast("bigint").alias("n_tokens"), F.lit(None).cast("string").alias("domain"), F.lit(1.0).alias("rate"))
     else:
         members, domains, history = found
-        bounded_batches(docs.sparkSession, 4096)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in small_batches(batches):
                 p = b.column("p").flatten().to_numpy().reshape(-1, len(domains))
                 names = pa.array([domains[k] for k in p.argmax(axis=1)], type=pa.string())
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), b.column("n"), names, pa.array(rates_of(p, history))], names=[*keep, "n_tokens", "domain", "rate"])

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, table
+from .common import cut, small_batches, table
 from .text_stats import NAMES, text_stats
 
 FEATURES = 128
@@ -27,10 +27,9 @@ SEED = 11
 
 def stats_of(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns and ``x``, the statistics of every whole text (null: zeros)."""
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             x = [text_stats(t) for t in b.column("text").to_pylist()]
             flat = pa.array(np.concatenate(x) if x else np.empty(0))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(NAMES), type=pa.int32()), flat)
@@ -144,10 +143,9 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
         fourier = Fourier(*moments(fit_rows))
         weights = fit_ridge(fit_rows, fourier)
         model = fourier, weights, *fit_calibration(spare if not spare.isEmpty() else fit_rows, fourier, weights)
-    bounded_batches(spark, 4096)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             if model is None or not b.num_rows:
                 score = np.full(b.num_rows, 0.5)
             else:

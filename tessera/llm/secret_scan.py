@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table
+from .common import small_batches, table
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -261,11 +261,10 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
     Null and empty texts give no spans; repeated rows are scanned again; extra columns are ignored; whole texts are read.
     """
-    bounded_batches(docs.sparkSession)
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             spans = [[{"kind": k, "start": s, "end": e} for k, s, e in all_spans(t or "")] for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(spans, type=pa.list_(kind))], names=["doc_id", "spans"])
 

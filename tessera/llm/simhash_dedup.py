@@ -28,8 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, row_key, table
-from .components import connected_components
+from .common import cut, row_key, small_batches, table
+from ..operators.graph import components
 
 BITS = 64
 BLOCKS = (13, 13, 13, 13, 12)
@@ -69,10 +69,9 @@ def fingerprint(text: str | None, shingle_words: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns of ``docs`` and ``fp`` (a signed long with the 64 bits)."""
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             fp = np.fromiter((fingerprint(t) for t in b.column("text").to_pylist()), dtype=np.uint64, count=b.num_rows)
             cols = [b.column(c) for c in keep] + [pa.array(fp.view(np.int64))]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, "fp"])
@@ -205,7 +204,7 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 def _grouped(docs: DataFrame, keep: list[str]) -> DataFrame:
     fps = cut(fingerprints(docs, keep), "op1-fps")
     distinct_fp = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    roots = connected_components(near_links(distinct_fp))
+    roots = components(near_links(distinct_fp))
     known = distinct_fp.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     known = cut(known, "op1-known")
     lows = known.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -240,10 +239,9 @@ def _bands(hashes: np.ndarray) -> np.ndarray:
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
     """(doc_id, row, set, n, bands): a hash of each text's shingle set, its size and band keys; no bands without words."""
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             sets = [shingles(t) for t in b.column("text").to_pylist()]
             ids = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], dtype=np.uint64).view(np.int64)
             bands = pa.array([_bands(x) if len(x) else [] for x in sets], type=pa.list_(pa.int64()))
@@ -256,7 +254,7 @@ def _shingle_arrays(texts: DataFrame) -> DataFrame:
     """(set, sh): the shingle hashes themselves, for ``texts`` (set, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             sh = pa.array([shingles(t).view(np.int64) for t in b.column("text").to_pylist()], type=pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("set"), sh], names=["set", "sh"])
 
@@ -291,7 +289,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     needed = distinct.join(met.select("set").distinct(), "set").select("set", "row")
     arrays = cut(_shingle_arrays(docs.select("row", "text").join(needed, "row").dropDuplicates(["set"])), "near-arrays")
     links = cut(_verified(star, arrays), "near-links")
-    joined = connected_components(links)
+    joined = components(links)
     rooted = met.where("size > 2").select("cell", "set", "n").join(joined.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     mixed = rooted.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / CHUNK).cast("int").alias("parts")).where("low <> high").select("cell", "parts")
     crowd = cut(rooted.join(mixed, "cell").withColumn("own", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int")), "near-crowd")
@@ -299,7 +297,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     right = crowd.select("cell", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("x"), F.col("own").alias("y"), F.col("set").alias("set2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
     cross = left.join(right, ["cell", "x", "y"]).where((F.col("root") != F.col("root2")) & _alike("n", "n2")).select(*pair("set", "set2")).distinct()
     more = cut(_verified(cross, arrays), "near-more")
-    roots = joined if more.isEmpty() else connected_components(links.union(more))
+    roots = joined if more.isEmpty() else components(links.union(more))
     return sets.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").select("doc_id", "row", F.coalesce("root", "set").alias("root"))
 
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, shared_dir, table
+from .common import shared_dir, small_batches, table
 
 END_ID = 1
 SEGMENT_TOKENS = 1 << 16
@@ -193,7 +193,6 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str | None = None,
     Null texts count as empty: one end id. Repeated rows are written again. An empty table writes no segments.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     vocabulary = tokenizer_path or vocabulary_path()
     schema = pa.schema([("part", pa.int32()), ("seg", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("payload", pa.binary())])
 
@@ -207,7 +206,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str | None = None,
             seg, start, doc_ids, held, n = seg + 1, start + n, [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
-        for b in batches:
+        for b in small_batches(batches):
             for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 ids = enc.encode(t)
                 doc_ids.append(d)
@@ -231,7 +230,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     bases = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             for row in b.to_pylist():
                 reader, at, out = DacReader(row["payload"]), 0, []
                 for d, n in zip(row["doc_ids"], row["lens"], strict=True):

@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from tessera.llm import components, decontaminate, language_id, license_scan, line_dedup, mixing, quality, secret_scan, simhash_dedup, text_stats, token_output, topk_search
+from tessera.operators import graph
+from tessera.llm import decontaminate, language_id, license_scan, line_dedup, mixing, quality, secret_scan, simhash_dedup, text_stats, token_output, topk_search
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, _row string, score int, row int"
 WORDS = "the quick brown fox jumps over a lazy dog while many small birds sing above old green hills and rivers".split()
@@ -66,7 +67,7 @@ def test_links_of_close_fingerprints_are_never_missed(spark):
     near = [int(x) ^ sum(1 << int(b) for b in rng.choice(63, k, replace=False)) for x in base for k in (1, 2, 3)]
     every = sorted({int(x) for x in base} | set(near))
     links = simhash_dedup.near_links(spark.createDataFrame([(x,) for x in every], "fp bigint"))
-    roots = {r["node"]: r["root"] for r in components.connected_components(links).collect()}
+    roots = {r["node"]: r["root"] for r in graph.components(links).collect()}
     for i, a in enumerate(every):
         for b in every[i + 1 :]:
             if (a ^ b).bit_count() <= 3:
@@ -127,7 +128,7 @@ def test_near_copies_match_brute_force(spark):
 
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, k) for k in range(101, 130)] + [(7, 7), (None, 3)]
-    got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert {got[k] for k in range(31)} == {0} and {got[k] for k in range(100, 130)} == {100}
 
 
@@ -333,6 +334,15 @@ def _edit(a, b):
     return row[-1]
 
 
+def _blocks_met(a, b):
+    """Whether two of the five bit blocks agree."""
+    x, same = a ^ b, 0
+    for w in line_dedup.BLOCKS:
+        same += not x & ((1 << w) - 1)
+        x >>= w
+    return same >= 2
+
+
 def test_lines_match_brute_force(spark):
     rng = np.random.default_rng(6)
     base = [" ".join(rng.choice(WORDS, n)) for n in (30, 45, 60, 8)]
@@ -353,7 +363,7 @@ def test_lines_match_brute_force(spark):
     for i, a in enumerate(texts):
         for j in range(i):
             b = texts[j]
-            if min(len(a), len(b)) >= 5 and (sims[i] ^ sims[j]).bit_count() <= 3:
+            if _blocks_met(sims[i], sims[j]) and (sims[i] ^ sims[j]).bit_count() <= line_dedup.MAX_BITS:
                 x, y = " ".join(a), " ".join(b)
                 if _edit(x, y) <= 0.2 * max(len(x), len(y)) + 1e-9:
                     old, new = max(label[i], label[j]), min(label[i], label[j])
