@@ -14,11 +14,13 @@ Spark's writer commits the files, so retried or speculative tasks leave no dupli
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -48,20 +50,34 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
-#: Words of these letters are one pre-token whatever stands around them, and their lower case has no special rules.
-_LETTERS = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
-_PLAIN = re.compile(f"[{_LETTERS}]+")
-#: Pre-tokens of pieces made of such letters, digits and ASCII marks other than the apostrophe.
-_PARTS = re.compile(f"[A-Z{_LETTERS}]+|[0-9]|[!-&(-/:-@\\[-`{{-~]+")
+_CAPITALS = "A-Z" + "".join(chr(c) for c in range(0xC0, 0x180) if c != 0x130 and chr(c) != chr(c).lower())
+_SMALL = "a-z" + "".join(chr(c) for c in range(0xC0, 0x180) if chr(c).isalpha() and c != 0x130 and chr(c) == chr(c).lower())
+_LETTERS = _CAPITALS[3:] + _SMALL
+#: Small letters make one pre-token whatever stands around them; capitals have a lower case without special rules.
+_PLAIN = re.compile(f"[{_SMALL}]+")
+#: Pre-tokens of lower-cased pieces made of such letters, digits and ASCII marks other than the apostrophe.
+_PARTS = re.compile(f"[{_SMALL}]+|[0-9]|[!-&(-/:-@\\[-`{{-~]+")
 _SIMPLE = re.compile(f"[A-Z0-9{_LETTERS}!-&(-/:-@\\[-`{{-~]+")
 _NOT_FOLDABLE = re.compile("[^\u0000-\u012f\u0131-\u017f\u2000-\u206f]")
 _MIXED_MARKS = re.compile(f"[^ 0-9{_LETTERS}][.,] ")
 
 
+# Fixed value: the pre-tokens of a vocabulary whose texts can be encoded word by word.
+_PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _takes_words_apart(made_of: dict) -> bool:
+    """Whether a tokenizer file normalises and pre-tokenizes as the word-wise encoding assumes."""
+    steps = [x["type"] for x in (made_of.get("normalizer") or {}).get("normalizers", [])]
+    split = ((made_of.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    return steps == ["NFC", "Replace", "Lowercase"] and split.get("pattern") == {"Regex": _PRE_TOKENS} and not made_of["model"].get("dropout")
+
+
 class WordCachingEncoder:
     """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``.
 
-    This vocabulary lower-cases and its pre-tokenizer never lets a token span white space, so a text's ids are the ids of
+    A vocabulary of another make is left to the library, text by text. One that lower-cases, and whose pre-tokens never
+    span white space, is encoded by words: a text's ids are the ids of
     its space-separated pieces, and lower-casing it or setting a word's full stop or comma apart changes none of them.
     Plain words go straight to the library's BPE model, all other pieces to its whole pipeline. Ids of pieces are kept
     between texts in two generations of about ``limit`` pieces; pieces in use move to the younger one.
@@ -71,6 +87,8 @@ class WordCachingEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        made_of = json.loads(Path(path).read_text())
+        self.by_words = _takes_words_apart(made_of)
         self.tokenizer, self.limit, self.known, self.older = Tokenizer.from_file(path), limit, {"": b""}, {}
         self.model, self.letters = self.tokenizer.model, dict(enumerate(_byte_letters()))
 
@@ -95,6 +113,8 @@ class WordCachingEncoder:
         return self._learn(piece) if found is None else found
 
     def encode(self, text: str | None) -> np.ndarray:
+        if not self.by_words:
+            return np.array(self.tokenizer.encode(text or "", add_special_tokens=False).ids, dtype="<u4")
         text = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ")
         if "<|" not in text and not _NOT_FOLDABLE.search(text):  # "<|" may start a special token, which is read as written
             text = text.lower()
