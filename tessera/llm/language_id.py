@@ -3,7 +3,7 @@
 The network is trained here in numpy by backpropagation through time on a bounded sample of windows (``SAMPLE_DOCS``
 labelled documents of each language at most, ``WINDOWS`` windows of ``STEPS`` bytes of each). Gates are hard sigmoids,
 clip(x/4 + 1/2, 0, 1), which keep a step to a few array operations. Prediction reads every byte of every text, cut into
-windows that start from a zero state, and pools the label probabilities of all positions that are letters.
+windows of ``WINDOW`` bytes that start from a zero state on both sides, and pools the label probabilities of all positions that are letters.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, small_batches, table
+from .common import all_of, free_name, quoted, small_batches, table
 
 HIDDEN = 8
 STEPS = 64
@@ -25,7 +25,7 @@ WINDOWS = 4
 EPOCHS = 10
 WINDOW = 256
 NONE = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile("[A-Za-z]")
 #: ASCII letters and all bytes of characters beyond ASCII count as letter positions.
 _IS_LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 
@@ -36,6 +36,10 @@ def _gates(x: np.ndarray) -> np.ndarray:
     return np.clip(x, 0, 1, out=x)
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and (_ASCII_LETTER.search(text) is not None or (not text.isascii() and any(map(str.isalpha, text))))
+
+
 class ByteGru:
     """Two GRUs (left to right, right to left) and a softmax at every position."""
 
@@ -51,8 +55,8 @@ class ByteGru:
         self.p["o"] = draw(2 * hidden, len(labels), scale=0.3)
         self.p["ob"] = np.zeros(len(labels), dtype=np.float32)
 
-    def _run(self, x: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
-        """States after every step, (steps, batch, hidden), for bytes (steps, batch)."""
+    def _run(self, x: np.ndarray, d: str, keep: bool, live: np.ndarray | None = None) -> tuple[np.ndarray, list]:
+        """States after every step, (steps, batch, hidden), for bytes (steps, batch); the state stays zero where ``live`` is false."""
         e, u, c, h = self.p[f"e{d}"], self.p[f"u{d}"], self.p[f"c{d}"], self.h
         state, out, tape = np.zeros((x.shape[1], h), dtype=np.float32), np.empty((*x.shape, h), dtype=np.float32), []
         for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
@@ -64,11 +68,14 @@ class ByteGru:
             if keep:
                 tape.append((t, state, z, r, rs, n))
             state = n + z * (state - n)
+            if live is not None:
+                state = state * live[t][:, None]
             out[t] = state
         return out, tape
 
-    def probabilities(self, x: np.ndarray) -> np.ndarray:
-        f, b = self._run(x, "f", False)[0], self._run(x, "b", False)[0]
+    def probabilities(self, x: np.ndarray, live: np.ndarray | None = None) -> np.ndarray:
+        """Label probabilities of every position of bytes (steps, batch); padding behind a text (``live`` false) leaves no trace in it."""
+        f, b = self._run(x, "f", False)[0], self._run(x, "b", False, live)[0]
         s = f.reshape(-1, self.h) @ self.p["o"][: self.h]
         s += b.reshape(-1, self.h) @ self.p["o"][self.h :] + self.p["ob"]
         s -= s.max(axis=1, keepdims=True)
@@ -137,13 +144,19 @@ class ByteGru:
         pieces = -(-lens // WINDOW)
         owner = np.repeat(np.arange(len(texts)), pieces)
         flat = np.frombuffer(b"".join(t.ljust(int(n) * WINDOW, b"\0") for t, n in zip(texts, pieces, strict=True)), dtype=np.uint8).reshape(-1, WINDOW)
+        within = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        size = np.minimum(lens[owner] - within * WINDOW, WINDOW)
+        order = np.argsort(-size, kind="stable")  # whole windows first: only the others need a mask
         for at in range(0, len(flat), 1024):
-            x = np.ascontiguousarray(flat[at : at + 1024].T)
-            p = self.probabilities(x)
-            on = _IS_LETTER[x]
+            pick = order[at : at + 1024]
+            steps = int(size[pick[0]])
+            x = np.ascontiguousarray(flat[pick, :steps].T)
+            live = None if size[pick[-1]] == steps else np.arange(steps)[:, None] < size[pick]
+            p = self.probabilities(x, live)
+            on = _IS_LETTER[x] if live is None else _IS_LETTER[x] & live
             p *= on[:, :, None]
-            np.add.at(total, owner[at : at + 1024], p.sum(axis=0))
-            np.add.at(letters, owner[at : at + 1024], on.sum(axis=0))
+            np.add.at(total, owner[pick], p.sum(axis=0))
+            np.add.at(letters, owner[pick], on.sum(axis=0))
         return total / np.maximum(letters, 1)[:, None]
 
 
@@ -178,7 +191,7 @@ def predict(docs: DataFrame, model: ByteGru | None, keep: list[str], names: tupl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
             texts = b.column("text").to_pylist()
-            has = np.array([model is not None and bool(t) and _LETTER.search(t) is not None for t in texts], dtype=bool)
+            has = np.array([model is not None and has_letter(t) for t in texts], dtype=bool)
             lang, score = [NONE] * len(texts), np.zeros(len(texts))
             if has.any():
                 at = np.flatnonzero(has)
@@ -189,8 +202,8 @@ def predict(docs: DataFrame, model: ByteGru | None, keep: list[str], names: tupl
                     lang[i] = model.labels[k]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(lang, type=pa.string()), pa.array(score)], names=[*keep, *names])
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{fields}, {names[0]} string, {names[1]} double")
+    fields = ", ".join(f"{quoted(c)} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(*[F.col(quoted(c)) for c in dict.fromkeys([*keep, "text"])]).mapInArrow(run, f"{fields}, {names[0]} string, {names[1]} double")
 
 
 def _held_out():
@@ -202,16 +215,23 @@ def fit_on(docs: DataFrame) -> ByteGru | None:
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """Per document row: doc_id, held_out, lang_pred, score. A null doc_id isn't held out; repeated rows are judged again."""
+    """Per document row: doc_id, held_out, lang_pred, score. A null doc_id isn't held out; repeated rows are judged again.
+
+    Null and empty texts, and those without a letter, are ``und`` with score 0; texts of any length are read whole. An empty
+    table, or one without labelled rows outside the held-out fold, teaches nothing: every text is ``und``.
+    """
     scored = predict(docs, fit_on(docs), ["doc_id"])
     return scored.select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, least_score: float = 0.4) -> DataFrame:
-    """Pipeline stage: documents whose language is one of the learned ones with at least ``least_score``; all columns stay."""
+    """Pipeline stage: documents whose language is one of the learned ones with at least ``least_score``; all columns stay.
+
+    Null texts and those without a letter go; null doc_ids count like any other; repeated rows are judged alike.
+    """
     names = free_name(docs, "_lang_pred"), free_name(docs, "_score")
     kept = predict(docs, fit_on(docs), docs.columns, names)
-    return kept.where((F.col(names[0]) != NONE) & (F.col(names[1]) >= least_score)).select(*docs.columns)
+    return kept.where((F.col(names[0]) != NONE) & (F.col(names[1]) >= least_score)).select(*all_of(docs))
 
 
 def op3_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
