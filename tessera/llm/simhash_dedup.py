@@ -1,15 +1,15 @@
 """SimHash near-duplicates found with pivot distance tables.
 
-Fingerprints are 64-bit SimHashes of 3-word shingles. Reference fingerprints (pivots) come in two kinds: *block pivots*
-give the Hamming distances restricted to one of five bit blocks, *wide pivots* the distance over all 64 bits. By the
-triangle inequality no coordinate of two fingerprints at distance d differs by more than d. Three differing bits touch at
-most three blocks, so at least two of the five blocks agree in every block-pivot coordinate: the pair meets in one of
-the ten tables keyed by the coordinates of two blocks. Pairs that meet are discarded when any wide-pivot coordinate
-differs by more than 3, and the survivors are verified bit by bit. Wide pivots alone would leave most pairs (their
-distances all lie near 32), which is why the tables are keyed by block coordinates.
+Fingerprints are 64-bit SimHashes of 3-word shingles. ``REFERENCES`` of the data's own fingerprints serve as pivots. Every
+fingerprint's Hamming distances to all of them are precomputed, over the whole width and restricted to one of five bit
+blocks. By the triangle inequality no coordinate of two fingerprints at distance d differs by more than d. Three differing
+bits touch at most three blocks, so in at least two of the five blocks all restricted distances of a pair are equal: the
+pair meets in one of ten tables keyed by the restricted distances of two blocks. (Distances over the whole width all lie
+near 32: as keys they would leave most pairs together.) Pairs that meet are discarded when the largest difference of their
+whole-width coordinates exceeds 3, and the survivors are verified bit by bit.
 
-A table cell is never expanded into all its pairs: cells are dealt out in chunks of about 512 fingerprints, every pair
-of chunks is compared in place, and only a spanning forest of the links leaves the task.
+A table cell is never expanded into all its pairs: every member is compared with the cell's leader, then only members
+still in different groups are compared, in pairs of chunks of about ``CHUNK``; a spanning forest of the links leaves a task.
 
 The pipeline stage has another threshold: Jaccard similarity 0.8 of the sets of 5-word shingles. At that similarity two
 64-bit SimHashes differ in about 10 bits and in up to 20, where no bit blocks are left to meet by. The stage therefore
@@ -28,14 +28,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, row_key, small_batches, table
+from .common import all_of, cut, row_key, small_batches, table
 from ..operators.graph import components
+from ..operators.skew import heavy_keys, skewed_join
 
 BITS = 64
 BLOCKS = (13, 13, 13, 13, 12)
 MAX_DISTANCE = 3
-BLOCK_PIVOTS = 16
-WIDE_PIVOTS = 8
+#: Fingerprints that serve as pivots, drawn by hash from the data; each block uses its own BLOCK_PIVOTS of them.
+REFERENCES = 32
+BLOCK_PIVOTS = 5
 CHUNK = 512
 #: The pipeline stage: two texts are near copies if their sets of STAGE_WORDS-word shingles have this Jaccard similarity.
 STAGE_WORDS = 5
@@ -88,36 +90,41 @@ def _masks() -> list[int]:
     return out
 
 
-def _pivots(seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    draw = lambda *shape: rng.integers(0, 2**64, size=shape, dtype=np.uint64)
-    return draw(len(BLOCKS), BLOCK_PIVOTS), draw(WIDE_PIVOTS)
+def references(distinct_fp: DataFrame) -> np.ndarray:
+    """REFERENCES fingerprints of ``distinct_fp`` (fp) as uint64, the first by hash; filled up from a fixed seed where there are fewer."""
+    drawn = [r["fp"] for r in distinct_fp.orderBy(F.xxhash64("fp"), "fp").select("fp").limit(REFERENCES).collect()]  # bounded
+    rest = np.random.default_rng(7).integers(0, 2**64, size=REFERENCES - len(drawn), dtype=np.uint64)
+    return np.concatenate([np.array(drawn, dtype=np.int64).view(np.uint64), rest])
 
 
-def pivot_coordinates(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For uint64 fingerprints: per block one word of packed 4-bit distances, and one word of packed 8-bit wide distances."""
-    block, wide = _pivots()
+def block_coordinates(fp: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """For uint64 fingerprints a word for each block: its BLOCK_PIVOTS restricted distances, four bits each."""
     coords = np.zeros((len(fp), len(BLOCKS)), dtype=np.uint64)
     for k, mask in enumerate(_masks()):
         for j in range(BLOCK_PIVOTS):
-            d = np.bitwise_count((fp ^ block[k, j]) & np.uint64(mask)).astype(np.uint64)
+            d = np.bitwise_count((fp ^ pivots[k * BLOCK_PIVOTS + j]) & np.uint64(mask)).astype(np.uint64)
             coords[:, k] |= d << np.uint64(4 * j)
-    far = np.stack([np.bitwise_count(fp ^ p) for p in wide], axis=1).astype(np.uint8)
-    return coords, far
+    return coords
 
 
-def _cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row for each fingerprint and table: ``cell`` is a hash of the table's number and its coordinates."""
-    pairs = list(combinations(range(len(BLOCKS)), 2))
-    mul = np.uint64(0x9E3779B97F4A7C15)
-    for f in frames:
-        fp = f["fp"].to_numpy(np.int64).view(np.uint64)
-        coords, _ = pivot_coordinates(fp)
-        for t, (i, j) in enumerate(pairs):
-            h = (coords[:, i] ^ np.uint64(t + 1)) * mul
-            h = ((h ^ (h >> np.uint64(29))) + coords[:, j]) * mul
-            h ^= h >> np.uint64(32)
-            yield pd.DataFrame({"cell": h.view(np.int64), "fp": fp.view(np.int64)})
+def wide_coordinates(fp: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """The whole-width distance of each fingerprint to each pivot, (fingerprints, pivots)."""
+    return np.stack([np.bitwise_count(fp ^ p) for p in pivots], axis=1).astype(np.int8)
+
+
+def _cells(pivots: np.ndarray):
+    """One row for each fingerprint and table: ``cell`` is the table's number and the coordinates of its two blocks."""
+    width = np.uint64(4 * BLOCK_PIVOTS)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            fp = f["fp"].to_numpy(np.int64).view(np.uint64)
+            coords = block_coordinates(fp, pivots)
+            for t, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2)):
+                cell = (np.uint64(t) << (width + width)) | (coords[:, i] << width) | coords[:, j]
+                yield pd.DataFrame({"cell": cell.view(np.int64), "fp": fp.view(np.int64)})
+
+    return run
 
 
 def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -136,7 +143,7 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def link_sorted_cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def link_sorted_cells(pivots: np.ndarray):
     """From rows sorted by (cell, x, y): links ``(a, b)`` that span the components inside every chunk pair."""
 
     def done(f: pd.DataFrame) -> pd.DataFrame:
@@ -146,15 +153,16 @@ def link_sorted_cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         new[1:] = (cell[1:] != cell[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
         start = np.flatnonzero(new)
         last = np.repeat(np.append(start[1:], len(f)), np.diff(np.append(start, len(f))))
-        _, far = pivot_coordinates(fp)
-        far = far.astype(np.int16)
+        far = wide_coordinates(fp, pivots)
         idx, lag, left, right = np.arange(len(f)), 0, [], []
         while True:
             lag += 1
             idx = idx[idx + lag < last[idx]]
             if not len(idx):
                 break
-            near = idx[np.abs(far[idx] - far[idx + lag]).max(axis=1) <= MAX_DISTANCE]
+            near = idx
+            for k in range(0, far.shape[1], 8):  # most pairs go by the first few pivots
+                near = near[np.abs(far[near, k : k + 8] - far[near + lag, k : k + 8]).max(axis=1) <= MAX_DISTANCE]
             hit = near[np.bitwise_count(fp[near] ^ fp[near + lag]) <= MAX_DISTANCE]
             left.append(hit)
             right.append(hit + lag)
@@ -163,32 +171,43 @@ def link_sorted_cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         moved = np.flatnonzero(root != np.arange(len(f)))
         return pd.DataFrame({"a": fp[root[moved]].view(np.int64), "b": fp[moved].view(np.int64)})
 
-    held = None
-    for f in frames:
-        f = f if held is None else pd.concat([held, f], ignore_index=True)
-        tail = (f["cell"] == f["cell"].iloc[-1]) & (f["x"] == f["x"].iloc[-1]) & (f["y"] == f["y"].iloc[-1]) if len(f) else None
-        if tail is None:
-            continue
-        held, ready = f[tail].reset_index(drop=True), f[~tail].reset_index(drop=True)
-        if len(ready):
-            yield done(ready)
-    if held is not None and len(held):
-        yield done(held)
-
-
-def near_links(distinct_fp: DataFrame) -> DataFrame:
-    """Links ``(a, b)`` between distinct fingerprints; their components are those of all links at distance <= 3."""
-    cells = cut(distinct_fp.select("fp").mapInPandas(_cells, "cell bigint, fp bigint"), "op1-cells")
-    full = cells.groupBy("cell").count().where("count > 1")
-    parts = F.ceil(F.col("count") / CHUNK).cast("int")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for f in frames:
+            f = f if held is None else pd.concat([held, f], ignore_index=True)
+            tail = (f["cell"] == f["cell"].iloc[-1]) & (f["x"] == f["x"].iloc[-1]) & (f["y"] == f["y"].iloc[-1]) if len(f) else None
+            if tail is None:
+                continue
+            held, ready = f[tail].reset_index(drop=True), f[~tail].reset_index(drop=True)
+            if len(ready):
+                yield done(ready)
+        if held is not None and len(held):
+            yield done(held)
+
+    return run
+
+
+def near_roots(distinct_fp: DataFrame) -> DataFrame:
+    """(node, root) for the fingerprints of ``distinct_fp`` (fp, each once) that are linked to others at distance <= 3."""
+    pivots = references(distinct_fp)
+    cells = cut(distinct_fp.select("fp").mapInPandas(_cells(pivots), "cell bigint, fp bigint"), "op1-cells")
+    heavy = heavy_keys(cells, "cell")
+    full = cells.groupBy("cell").agg(F.count("*").alias("size"), F.min("fp").alias("lead")).where("size > 1")
+    met = cut(skewed_join(cells, full, "cell", heavy), "op1-met")
+    star = met.where((F.col("fp") != F.col("lead")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("lead"))) <= MAX_DISTANCE)).select(F.col("lead").alias("a"), F.col("fp").alias("b")).distinct()
+    star = cut(star, "op1-star")
+    joined = components(star)
+    crowd = met.where("size > 2").join(joined.select(F.col("node").alias("fp"), "root"), "fp", "left").select("cell", "fp", F.coalesce("root", "fp").alias("root"))
+    crowd = cut(crowd, "op1-crowd")
+    mixed = crowd.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / CHUNK).cast("int").alias("n")).where("low <> high").select("cell", "n")
     dealt = (
-        cells.join(full, "cell")
-        .withColumn("n", parts)
+        skewed_join(crowd.select("cell", "fp"), cut(mixed, "op1-mixed"), "cell", heavy)
         .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
         .select("cell", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "fp")
     )
-    return dealt.repartition("cell", "x", "y").sortWithinPartitions("cell", "x", "y", "fp").mapInPandas(link_sorted_cells, "a bigint, b bigint").distinct()
+    more = cut(dealt.repartition("cell", "x", "y").sortWithinPartitions("cell", "x", "y", "fp").mapInPandas(link_sorted_cells(pivots), "a bigint, b bigint").distinct(), "op1-more")
+    return joined if more.isEmpty() else components(star.union(more))
 
 
 def simhash_groups(docs: DataFrame) -> DataFrame:
@@ -203,12 +222,12 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
 def _grouped(docs: DataFrame, keep: list[str]) -> DataFrame:
     fps = cut(fingerprints(docs, keep), "op1-fps")
-    distinct_fp = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    roots = components(near_links(distinct_fp))
-    known = distinct_fp.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    distinct_fp = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "op1-distinct")
+    known = distinct_fp.join(near_roots(distinct_fp).select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     known = cut(known, "op1-known")
-    lows = known.groupBy("root").agg(F.min("low").alias("component_id"))
-    return fps.join(known.join(lows, "root").select("fp", "root", "component_id"), "fp")
+    lows = cut(known.groupBy("root").agg(F.min("low").alias("component_id")), "op1-lows")
+    known = skewed_join(known.select("fp", "root"), lows, "root", heavy_keys(known, "root"))
+    return skewed_join(fps, cut(known, "op1-rooted"), "fp", heavy_keys(fps, "fp"))
 
 
 def shingles(text: str | None, width: int = STAGE_WORDS) -> np.ndarray:
@@ -238,16 +257,16 @@ def _bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, set, n, bands): a hash of each text's shingle set, its size and band keys; no bands without words."""
+    """(doc_id, row, set, n, bands): a 128-bit hash of each text's shingle set, its size and band keys; no bands without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
             sets = [shingles(t) for t in b.column("text").to_pylist()]
-            ids = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], dtype=np.uint64).view(np.int64)
+            ids = [xxhash.xxh3_128_hexdigest(x.tobytes(), 42) for x in sets]
             bands = pa.array([_bands(x) if len(x) else [] for x in sets], type=pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(ids), pa.array([len(x) for x in sets], type=pa.int64()), bands], names=["doc_id", "row", "set", "n", "bands"])
 
-    return docs.select("doc_id", "row", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row bigint, set bigint, n bigint, bands array<bigint>")
+    return docs.select("doc_id", "row", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row string, set string, n bigint, bands array<bigint>")
 
 
 def _shingle_arrays(texts: DataFrame) -> DataFrame:
@@ -280,10 +299,13 @@ def near_copies(docs: DataFrame) -> DataFrame:
     different groups are compared with each other, in pairs of chunks. Texts without words are copies of each other.
     """
     sets = cut(shingle_sets(docs), "near-sets")
-    distinct = cut(sets.groupBy("set").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("n_copies")), "near-distinct")
-    cells = cut(distinct.select(F.explode("bands").alias("cell"), "set", "n", "n_copies"), "near-cells")
+    numbered = sets.groupBy("set").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("n_copies"))
+    numbered = cut(numbered.withColumnRenamed("set", "key").withColumn("set", F.monotonically_increasing_id()), "near-distinct")
+    distinct = numbered.drop("key")
+    cells = distinct.select(F.explode("bands").alias("cell"), "set", "n", "n_copies")
+    heavy = heavy_keys(cells, "cell")
     full = cells.groupBy("cell").agg(F.count("*").alias("size"), F.max(F.struct("n_copies", "set", "n")).alias("lead")).where("size > 1")
-    met = cut(cells.join(full.select("cell", "size", F.col("lead.set").alias("lead"), F.col("lead.n").alias("lead_n")), "cell"), "near-met")
+    met = cut(skewed_join(cells, full.select("cell", "size", F.col("lead.set").alias("lead"), F.col("lead.n").alias("lead_n")), "cell", heavy), "near-met")
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     star = cut(met.where((F.col("set") != F.col("lead")) & _alike("n", "lead_n")).select(*pair("set", "lead")).distinct(), "near-star")
     needed = distinct.join(met.select("set").distinct(), "set").select("set", "row")
@@ -292,33 +314,35 @@ def near_copies(docs: DataFrame) -> DataFrame:
     joined = components(links)
     rooted = met.where("size > 2").select("cell", "set", "n").join(joined.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     mixed = rooted.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / CHUNK).cast("int").alias("parts")).where("low <> high").select("cell", "parts")
-    crowd = cut(rooted.join(mixed, "cell").withColumn("own", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int")), "near-crowd")
+    crowd = cut(skewed_join(rooted, cut(mixed, "near-mixed"), "cell", heavy).withColumn("own", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int")), "near-crowd")
     left = crowd.select("cell", F.col("own").alias("x"), F.explode(F.sequence(F.col("own"), F.col("parts") - 1)).alias("y"), "set", "n", "root")
     right = crowd.select("cell", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("x"), F.col("own").alias("y"), F.col("set").alias("set2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
     cross = left.join(right, ["cell", "x", "y"]).where((F.col("root") != F.col("root2")) & _alike("n", "n2")).select(*pair("set", "set2")).distinct()
     more = cut(_verified(cross, arrays), "near-more")
     roots = joined if more.isEmpty() else components(links.union(more))
-    return sets.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").select("doc_id", "row", F.coalesce("root", "set").alias("root"))
+    known = numbered.select("key", "set").join(roots.select(F.col("node").alias("set"), "root"), "set", "left").select(F.col("key").alias("set"), F.coalesce("root", "set").alias("root"))
+    return skewed_join(sets.select("doc_id", "row", "set"), cut(known, "near-known"), "set", heavy_keys(sets, "set")).select("doc_id", "row", "root")
 
 
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
     """Pipeline stage: the document with the smallest doc_id of every group stays, with all its columns.
 
-    Ties (one doc_id on several rows) go to the row with the smallest 64-bit row hash, nulls last; of wholly equal rows one stays.
+    Ties (one doc_id on several rows) go to the row with the smallest row hash, null doc_ids last; of wholly equal rows one
+    stays. Null and empty texts, and those without words, are copies of each other; an empty table stays empty.
     """
     keyed, key = row_key(docs)
     grouped = cut(near_copies(keyed.select("doc_id", "text", F.col(key).alias("row"))), "op1-grouped")
     order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")
     best = grouped.groupBy("root").agg(F.min(order).alias("best"), F.count("*").alias("n")).where("n > 1")
-    judged = grouped.join(best, "root").select("row", (F.col("best.row") == F.col("row")).alias("wins"))
+    judged = skewed_join(grouped, cut(best, "op1-best"), "root", heavy_keys(grouped, "root")).select("row", (F.col("best.row") == F.col("row")).alias("wins"))
     verdict = cut(judged.groupBy("row").agg(F.max("wins").alias("wins"), F.count("*").alias("n")), "op1-verdict")
     lost = verdict.where("not wins").select(F.col("row").alias(key))
     twice = verdict.where("wins and n > 1").select(F.col("row").alias(key))
     alive = keyed.join(lost, key, "left_anti")
     if twice.isEmpty():
-        return alive.select(*docs.columns)
+        return alive.select(*all_of(docs))
     once = alive.join(twice, key, "left_anti")
-    return once.unionByName(alive.join(twice, key, "left_semi").dropDuplicates([key])).select(*docs.columns)
+    return once.unionByName(alive.join(twice, key, "left_semi").dropDuplicates([key])).select(*all_of(docs))
 
 
 def op1_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
