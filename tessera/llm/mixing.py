@@ -1,11 +1,13 @@
 """Mixing sources to target weights with soft memberships.
 
-A softmax classifier learned from a labelled table gives every document a posterior over the domains. Rates r >= 0, one for
-each document, are then fitted so that the expected domain totals of tokens, sum of r_i n_i p_id, match the target shares
-of all tokens with rates as near to 1 as that allows. Such rates are r = max(0, 1 - p . v) with one price v_d a domain, so
-only v is fitted: Newton steps on the dual with the matrix of the rows whose rate isn't 0, steadied by a pull towards the
-last centre, which moves and weakens until the targets are met. A step needs only sums by Spark (shares and a domains x domains
-matrix for several step lengths at once); a document's rate follows from its posterior, so no rate is stored.
+A softmax classifier learned from a labelled table gives every document a posterior p_i over the domains. Rates r_i >= 0,
+one for each document, are then fitted by least squares so that the expected domain totals of tokens, sum of r_i n_i p_id,
+match the target shares of all tokens, starting from rates of 1. The fit is a projected gradient with lazy projection: the
+gradient of a document's rate is p_i times the domains' misses, so all steps add up in one price v_d a domain, and the
+projection gives r_i = max(0, 1 - p_i . v). Steps are scaled by the domains x domains matrix of the rows whose rate isn't 0
+(a Gram matrix, without which soft posteriors take thousands of steps), steadied by a pull towards the last centre, which
+moves and weakens until the targets are met. A step needs only sums by Spark (shares and that matrix, for several step
+lengths at once); a document's rate follows from its posterior, so no rate is stored.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, row_key, small_batches, table
+from .common import all_of, cut, free_name, quoted, small_batches, table
 from .text_stats import NAMES, text_stats
 
 TARGETS = {"good": 0.9, "low": 0.07, "toxic": 0.03}
@@ -121,17 +123,17 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, sample_docs: int = SAMP
     return Softmax(np.stack(got["x"].to_numpy()), y, weight, domains, lexicon)
 
 
-def memberships(docs: DataFrame, model: Softmax, keep: list[str]) -> DataFrame:
-    """``keep`` columns, ``n`` (tokens: words) and ``p`` (posterior of each domain) for every whole text; null counts as empty."""
+def memberships(docs: DataFrame, model: Softmax, keep: list[str], names: tuple[str, str] = ("n", "p")) -> DataFrame:
+    """``keep`` columns, tokens (words) and posterior of each domain, called ``names``, for every whole text; null counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
-            texts = b.column("text").to_pylist()
+            texts = b.column("text").cast(pa.binary()).to_pylist()
             n = [len((t or b"").split()) for t in texts]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(n, type=pa.int64()), pa.array(model.posteriors(texts).tolist(), type=pa.list_(pa.float64()))], names=[*keep, "n", "p"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(n, type=pa.int64()), pa.array(model.posteriors(texts).tolist(), type=pa.list_(pa.float64()))], names=[*keep, *names])
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col("text").cast("binary").alias("text")).mapInArrow(run, f"{fields}, n bigint, p array<double>")
+    fields = ", ".join(f"{quoted(c)} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(*[F.col(quoted(c)) for c in dict.fromkeys([*keep, "text"])]).mapInArrow(run, f"{fields}, {names[0]} bigint, {names[1]} array<double>")
 
 
 def rates_of(p: np.ndarray, history: list[np.ndarray]) -> np.ndarray:
@@ -196,51 +198,46 @@ def fit_rates(members: DataFrame, target: np.ndarray) -> tuple[list[np.ndarray],
     return history, share
 
 
-def _members(docs: DataFrame, labels: DataFrame, targets: dict[str, float], keep: list[str]) -> tuple[DataFrame, list[str], list[np.ndarray]] | None:
+def _rated(docs: DataFrame, labels: DataFrame, targets: dict[str, float], keep: list[str]) -> tuple[DataFrame, list[str]]:
+    """``keep`` columns and, under names free among them: tokens, likeliest domain, rate, copies."""
+    names = [free_name(docs, x) for x in ("n_tokens", "domain", "rate", "copies", "_p")]
+    n, domain, rate, copies, p = names
+    kept = [F.col(quoted(c)) for c in keep]
     model = fit_classifier(docs, domains_of(labels))
     if model is None:
-        return None
-    members = cut(memberships(docs, model, keep), "op6-members")
-    want = np.array([targets.get(d, 0.0) for d in model.domains])
-    history, _ = fit_rates(members, want / max(want.sum(), 1e-12))
-    return members, model.domains, history
+        rated = docs.select(*kept, F.size(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+")).cast("bigint").alias(n), F.lit(None).cast("string").alias(domain), F.lit(1.0).alias(rate))
+    else:
+        members = cut(memberships(docs, model, keep, (n, p)), "op6-members")
+        want = np.array([targets.get(d, 0.0) for d in model.domains])
+        history, _ = fit_rates(members.select(F.col(n).alias("n"), F.col(p).alias("p")), want / max(want.sum(), 1e-12))
+        price = history[-1] if history else np.zeros(len(want))
+        value = F.greatest(F.lit(0.0), F.expr("1D - (" + " + ".join(f"{p}[{k}] * {x!r}D" for k, x in enumerate(price.tolist())) + ")"))
+        likeliest = F.get(F.array(*map(F.lit, model.domains)), (F.array_position(p, F.array_max(p)) - 1).cast("int"))
+        rated = members.select(*kept, n, likeliest.alias(domain), value.alias(rate))
+    luck = F.pmod(F.xxhash64(*kept, F.lit(17)), F.lit(1 << 30)) / (1 << 30)
+    return rated.withColumn(copies, F.floor(F.col(rate) + luck).cast("bigint")), names
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, n_tokens, domain (the likeliest), rate, copies.
 
     ``copies`` realises the rate: its whole part, plus one with the probability of the rest, decided by a hash of the kept
-    columns. Domains without a target get none; without labelled rows every rate is 1 and the domain is null. Texts without
-    words carry no tokens and follow their posterior's rate like any other. Repeated rows get the same rate.
+    columns. Domains without a target get none; without labelled rows every rate is 1 and the domain is null. Null and empty
+    texts carry no tokens and follow their posterior's rate like any other; long texts are read whole. Repeated rows get
+    the same rate; an empty table stays empty; other columns are ignored.
     """
     keep = list(keep)
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    luck = F.pmod(F.xxhash64(*keep, F.lit(17)), F.lit(1 << 30)) / (1 << 30)
-    found = _members(docs, labels, targets or TARGETS, keep)
-    if found is None:
-        rated = docs.select(*keep, F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")).cast("bigint").alias("n_tokens"), F.lit(None).cast("string").alias("domain"), F.lit(1.0).alias("rate"))
-    else:
-        members, domains, history = found
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in small_batches(batches):
-                p = b.column("p").flatten().to_numpy().reshape(-1, len(domains))
-                names = pa.array([domains[k] for k in p.argmax(axis=1)], type=pa.string())
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), b.column("n"), names, pa.array(rates_of(p, history))], names=[*keep, "n_tokens", "domain", "rate"])
-
-        rated = members.mapInArrow(run, f"{fields}, n_tokens bigint, domain string, rate double")
-    return rated.withColumn("copies", F.floor(F.col("rate") + luck).cast("bigint"))
+    rated, names = _rated(docs.select(*dict.fromkeys([*keep, "text", "doc_id"])), labels, targets or TARGETS, keep)
+    return rated.select(*keep, *[F.col(x).alias(y) for x, y in zip(names, ("n_tokens", "domain", "rate", "copies"), strict=False)])
 
 
 def apply_mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """Pipeline stage: every document as often as its ``copies`` say (none: it goes), with all its columns."""
-    keyed, key = row_key(docs)
-    one = keyed.select("text", F.col(key).alias("row"), "doc_id")
-    rates = mixing_rates(one, labels, targets, keep=("row",)).where("copies <> 1").select(F.col("row").alias(key), "copies").dropDuplicates([key])
-    copies, number = free_name(keyed, "_copies"), free_name(keyed, "_copy")
-    n = F.coalesce(F.col(copies), F.lit(1)).cast("int")
-    again = F.explode(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")))
-    return keyed.join(rates.withColumnRenamed("copies", copies), key, "left").select(*docs.columns, again.alias(number)).select(*docs.columns)
+    """Pipeline stage: every document as often as its ``copies`` say (none: it goes), with all its columns.
+
+    Equal rows are repeated alike; null doc_ids and texts count like any other; the rate is found in the pass that carries the row.
+    """
+    rated, (*_, copies, _) = _rated(docs, labels, targets or TARGETS, docs.columns)
+    return rated.select(*all_of(docs), F.explode(F.array_repeat(F.lit(1), F.col(copies).cast("int"))).alias(copies)).select(*all_of(docs))
 
 
 def op6_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
