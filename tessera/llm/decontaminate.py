@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, table
+from .common import all_of, cut, free_name, table
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -105,7 +105,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRE
     """Pipeline stage: the documents that hold no item, with all their columns."""
     key = free_name(docs, "_row")
     found = cut(contained_items(docs, items, threshold).select(F.col("row").alias(key)).distinct(), "op4-rows")
-    return docs.withColumn(key, F.xxhash64("doc_id", "text")).join(found, key, "left_anti").select(*docs.columns)
+    return docs.withColumn(key, F.xxhash64("doc_id", "text")).join(found, key, "left_anti").select(*all_of(docs))
 
 
 def op4_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:

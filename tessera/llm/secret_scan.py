@@ -1,7 +1,7 @@
 """Secret scan with a recursive decoding worklist.
 
 Every text is scanned with the base patterns. Then layers are unwrapped from a worklist until nothing new appears: URL
-(%XX), Unicode (\\uXXXX, \\UXXXXXXXX, \\xXX, &#n;), base64 (both alphabets, from each of the four alignments, wrapped lines
+(%XX), Unicode (\\uXXXX, \\u{X...}, \\UXXXXXXXX, \\xXX, &#n;), base64 (both alphabets, from each of the four alignments, wrapped lines
 joined) and compressed bytes (zlib, gzip, bzip2, all members) inside base64. Bytes needn't be clean text: those outside UTF-8
 stand for themselves, and UTF-16 stretches are read too. Archives are read as streams, in windows that end where no match
 can go on. Each new layer is scanned again and its matches are mapped back to the characters of the original text they came
@@ -38,7 +38,7 @@ _OVERLAP = 1 << 16
 
 _WORDS = ("passw", "secret", "token", "api")
 _URL = re.compile(r"%[0-9A-Fa-f]{2}")
-_UNICODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
+_UNICODE = re.compile(r"\\u(?:([0-9A-Fa-f]{4})|\{0*([0-9A-Fa-f]{1,6})\})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)*={0,2}")
 _MAGIC = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda", b"BZh")
 _ARCHIVE = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\x78[\x01\x5e\x9c\xda]")
@@ -111,7 +111,7 @@ def _url(m: re.Match) -> str | None:
 
 
 def _unicode(m: re.Match) -> str | None:
-    code = next(int(g, 10 if i == 3 else 16) for i, g in enumerate(m.groups()) if g)
+    code = next(int(g, 10 if i == 4 else 16) for i, g in enumerate(m.groups()) if g)
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 

@@ -66,8 +66,11 @@ def test_links_of_close_fingerprints_are_never_missed(spark):
     base = rng.integers(0, 2**63, 60, dtype=np.uint64)
     near = [int(x) ^ sum(1 << int(b) for b in rng.choice(63, k, replace=False)) for x in base for k in (1, 2, 3)]
     every = sorted({int(x) for x in base} | set(near))
-    links = simhash_dedup.near_links(spark.createDataFrame([(x,) for x in every], "fp bigint"))
-    roots = {r["node"]: r["root"] for r in graph.components(links).collect()}
+    fps = spark.createDataFrame([(x,) for x in every], "fp bigint")
+    roots = {r["node"]: r["root"] for r in simhash_dedup.near_roots(fps).collect()}
+    pivots = simhash_dedup.references(fps)
+    first_block = np.arange(1 << simhash_dedup.BLOCKS[0], dtype=np.uint64)
+    assert len(np.unique(simhash_dedup.block_coordinates(first_block, pivots)[:, 0])) < len(first_block) / 2  # cells of distances, not of bits
     for i, a in enumerate(every):
         for b in every[i + 1 :]:
             if (a ^ b).bit_count() <= 3:
@@ -237,21 +240,31 @@ def test_licenses(spark):
     rows = [(1, "Released under the MIT License. And under  the\nMIT license"), (2, "intro\n" + apache.replace("compliance", "harmony")), (3, None), (4, "CC BY-NC 4.0 cc-by-nc"), (5, "nothing"), (6, apache.replace(" ", "\n"))]
     got = {r["doc_id"]: r for r in license_scan.scan_licenses(_docs(spark, rows)).collect()}
     assert (got[1]["n_words"], got[1]["n_base"], got[1]["first_word"], got[1]["last_word"], got[1]["base"]) == (10, 2, 1, 6, ["mit"])
-    assert [(m["label"], m["block"]) for m in got[2]["matches"]] == [("apache-2", 1)]
+    assert [(m["label"], m["start"]) for m in got[2]["matches"]] == [("apache-2", 1)]
     assert (got[3]["n_words"], got[3]["n_base"], got[3]["first_word"]) == (0, 0, None)
-    assert (got[4]["n_base"], got[4]["base"]) == (2, ["cc-by-nc"]) and got[6]["matches"] == [] and got[6]["base"] == ["apache-2"]
+    assert (got[4]["n_base"], got[4]["base"]) == (2, ["cc-by-nc"]) and got[6]["base"] == ["apache-2"]
+    assert [(m["label"], m["start"], m["containment"]) for m in got[6]["matches"]] == [("apache-2", 0, 1.0)]  # wherever lines break
 
 
 def test_license_join_matches_brute_force(spark):
     rng = np.random.default_rng(9)
-    pool = sorted({w for _, t in license_scan.TEMPLATES for w in license_scan.words(t.encode())})
-    rows = [(k, b" ".join(rng.choice(np.array(pool, dtype=object), 45)).decode() + "\n" + license_scan.TEMPLATES[k % 6][1][: 60 + k]) for k in range(60)]
-    got = {r["doc_id"]: {(m["label"], m["block"]) for m in r["matches"]} for r in license_scan.scan_licenses(_docs(spark, rows)).collect()}
+    pool = np.array(sorted({w for _, t in license_scan.TEMPLATES for w in license_scan.words(t.encode())}), dtype=object)
+    rows = []
+    for k in range(60):
+        whole = license_scan.words(license_scan.TEMPLATES[k % len(license_scan.TEMPLATES)][1].encode())
+        for _ in range(k % 9):
+            whole[rng.integers(len(whole))] = b"other" if k % 2 else rng.choice(pool)
+        around = list(rng.choice(pool, 40 if k % 3 else 4))
+        rows.append((k, b"\n".join([*around, *whole[: len(whole) - k % 5], *around]).decode()))
+    rows += [(60, " ".join(["word"] * 30000) + " " + license_scan.TEMPLATES[0][1]), (61, "free software")]
+    got = {r["doc_id"]: {(m["label"], round(m["containment"], 9)) for m in r["matches"]} for r in license_scan.scan_licenses(_docs(spark, rows)).collect()}
     for d, t in rows:
-        want = set()
-        for b, line in enumerate(t.split("\n")):
-            have = set(license_scan.words(line.encode()))
-            want |= {(label, b) for label, x in license_scan.TEMPLATES if len(have & (s := set(license_scan.words(x.encode())))) >= math.ceil(0.8 * len(s) - 1e-9)}
+        split, want = license_scan.words(t.encode()), set()
+        for label, x in license_scan.TEMPLATES:
+            tokens, width = set(license_scan.words(x.encode())), len(license_scan.words(x.encode()))
+            best = max(len(tokens & set(split[i : i + width])) for i in range(len(split)))
+            if best >= math.ceil(0.8 * len(tokens) - 1e-9):
+                want.add((label, round(best / len(tokens), 9)))
         assert got[d] == want
 
 
@@ -356,6 +369,8 @@ def test_lines_match_brute_force(spark):
     texts = sorted({w for *_, w in occ if w})
 
     def sim(w):
+        longer = [x for x in w if len(x.encode()) > line_dedup.SHORT]
+        w = longer or w
         h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in w]
         return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
@@ -363,7 +378,7 @@ def test_lines_match_brute_force(spark):
     for i, a in enumerate(texts):
         for j in range(i):
             b = texts[j]
-            if _blocks_met(sims[i], sims[j]) and (sims[i] ^ sims[j]).bit_count() <= line_dedup.MAX_BITS:
+            if _blocks_met(sims[i], sims[j]) and (sims[i] ^ sims[j]).bit_count() <= line_dedup.MAX_BITS and abs(sum(map(len, a)) - sum(map(len, b))) < 500:
                 x, y = " ".join(a), " ".join(b)
                 if _edit(x, y) <= 0.2 * max(len(x), len(y)) + 1e-9:
                     old, new = max(label[i], label[j]), min(label[i], label[j])
