@@ -378,7 +378,7 @@ def test_lines_match_brute_force(spark):
     for i, a in enumerate(texts):
         for j in range(i):
             b = texts[j]
-            if _blocks_met(sims[i], sims[j]) and (sims[i] ^ sims[j]).bit_count() <= line_dedup.MAX_BITS and abs(sum(map(len, a)) - sum(map(len, b))) < 500:
+            if _blocks_met(sims[i], sims[j]) and (sims[i] ^ sims[j]).bit_count() <= line_dedup.MAX_BITS and abs(len(" ".join(a)) - len(" ".join(b))) <= 0.2 * max(len(" ".join(a)), len(" ".join(b))):
                 x, y = " ".join(a), " ".join(b)
                 if _edit(x, y) <= 0.2 * max(len(x), len(y)) + 1e-9:
                     old, new = max(label[i], label[j]), min(label[i], label[j])
