@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import event_sequences, floor, joins, reviews, scoring
+from . import event_sequences, floor, joins, reports, reviews, scoring
 
-_ALL = {**event_sequences.QUERIES, **joins.QUERIES, **scoring.QUERIES, **floor.QUERIES, **reviews.QUERIES}
+_ALL = {**event_sequences.QUERIES, **joins.QUERIES, **scoring.QUERIES, **floor.QUERIES, **reviews.QUERIES, **reports.QUERIES}
 
 QUERIES = {name: run for name, (run, _) in _ALL.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in _ALL.items() if sql}

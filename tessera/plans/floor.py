@@ -171,11 +171,11 @@ CLEAN_SQL = f"WITH {BOX}, {_MET} SELECT frame, det, CAST({_AREA} AS BIGINT) AS a
 def clean_looks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Looks worth keeping: tall, sure, untouched by others (IoU at most 0.05) and moved since the camera's last kept one."""
     sure = _with_overlaps(_boxes(spark, sf_dir)).where("y1 - y0 >= 200 and conf >= 3 and iou <= 50")
-    before = F.lag("x0").over(Window.partitionBy("frame", "cam").orderBy("det"))
+    before = F.lag("x0").over(Window.partitionBy("frame", "cam").orderBy("det", "x0", "y0", "x1", "y1", "iou"))
     return sure.withColumn("before", before).where("before is null or abs(x0 - before) >= 40").select("frame", "det", "iou")
 
 
-LOOKS_SQL = f"""WITH {BOX}, {_MET}, s AS (SELECT *, lag(x0) OVER (PARTITION BY frame, cam ORDER BY det) AS before FROM o WHERE y1 - y0 >= 200 AND conf >= 3 AND iou <= 50)
+LOOKS_SQL = f"""WITH {BOX}, {_MET}, s AS (SELECT *, lag(x0) OVER (PARTITION BY frame, cam ORDER BY det, x0, y0, x1, y1, iou) AS before FROM o WHERE y1 - y0 >= 200 AND conf >= 3 AND iou <= 50)
 SELECT frame, det, iou FROM s WHERE before IS NULL OR abs(x0 - before) >= 40"""
 
 

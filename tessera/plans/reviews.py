@@ -57,15 +57,15 @@ def seam_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Across day borders: a user's last event of a day and the next day's first one, joined where both are the only candidates within 3 hours."""
     day = F.expr(f"us div {DAY}")
     ends = events(spark, sf_dir).withColumn("day", day).groupBy("user_id", "day").agg(F.min("us").alias("first"), F.max("us").alias("last"))
-    late = ends.where(f"(day + 1) * {DAY} - last <= {3 * HOUR}").select(F.expr("day + 1").alias("day"), F.expr("user_id % 5").alias("cam"), "user_id", "last")
-    early = ends.where(f"first - day * {DAY} <= {3 * HOUR}").select("day", F.expr("user_id % 5").alias("cam"), F.col("user_id").alias("next"), "first")
+    late = ends.where(f"(day + 1) * {DAY} - last <= {3 * HOUR}").select(F.expr("day + 1").alias("day"), F.expr("user_id % 41").alias("cam"), "user_id", "last")
+    early = ends.where(f"first - day * {DAY} <= {3 * HOUR}").select("day", F.expr("user_id % 41").alias("cam"), F.col("user_id").alias("next"), "first")
     met = late.join(early, ["day", "cam"])
     alone = lambda c: F.count("*").over(Window.partitionBy("day", "cam", c))
     return met.withColumn("n1", alone("user_id")).withColumn("n2", alone("next")).where("n1 = 1 and n2 = 1").select("day", "user_id", "next", F.expr("first - last").alias("gap_us"))
 
 
 SEAM_SQL = f"""WITH {EV}, e AS (SELECT user_id, us // {DAY} AS day, min(us) AS first, max(us) AS last FROM ev GROUP BY user_id, us // {DAY}),
-l AS (SELECT day + 1 AS day, user_id % 5 AS cam, user_id, last FROM e WHERE (day + 1) * {DAY} - last <= {3 * HOUR}), f AS (SELECT day, user_id % 5 AS cam, user_id AS next, first FROM e WHERE first - day * {DAY} <= {3 * HOUR}),
+l AS (SELECT day + 1 AS day, user_id % 41 AS cam, user_id, last FROM e WHERE (day + 1) * {DAY} - last <= {3 * HOUR}), f AS (SELECT day, user_id % 41 AS cam, user_id AS next, first FROM e WHERE first - day * {DAY} <= {3 * HOUR}),
 m AS (SELECT day, user_id, next, first - last AS gap_us, count(*) OVER (PARTITION BY day, cam, user_id) AS n1, count(*) OVER (PARTITION BY day, cam, next) AS n2 FROM l JOIN f USING (day, cam))
 SELECT day, user_id, next, gap_us FROM m WHERE n1 = 1 AND n2 = 1"""
 

@@ -11,8 +11,9 @@ from ..operators import graph, greedy, scratch, tracking, vectors
 from ..sources import events, read_table
 from .event_sequences import DAY, EV, HOUR, MINUTE
 
-#: Prototypes (three for each label) up to which they are broadcast to the vectors; beyond, the join shuffles by bucket.
+#: Prototypes (three for each label) up to which they are broadcast to the vectors; beyond, every part of the vectors is joined with all of them.
 BROADCAST_PROTOTYPES = 30_000
+PARTS = 256
 
 
 def _prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,10 +26,13 @@ def _prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _label_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vec_id, own, label, d): the distance of every vector to its nearest prototype of every label, in 1e-6."""
     protos = scratch.cut(_prototypes(spark, sf_dir).select(F.col("label"), F.col("v").alias("p")), "prototypes")
-    if protos.count() <= BROADCAST_PROTOTYPES:
-        protos = F.broadcast(protos)
+    small = protos.count() <= BROADCAST_PROTOTYPES
     vecs = read_table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("own"), vectors.unit(F.col("embedding")).alias("v"))
-    met = vecs.crossJoin(protos).select("vec_id", "own", "label", F.floor(vectors.cosine_distance(F.col("v"), F.col("p")) * 1e6 + 0.5).alias("d"))
+    if small:
+        pairs = vecs.crossJoin(F.broadcast(protos))
+    else:
+        pairs = vecs.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(PARTS))).join(protos.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), "part")
+    met = pairs.select("vec_id", "own", "label", F.floor(vectors.cosine_distance(F.col("v"), F.col("p")) * 1e6 + 0.5).alias("d"))
     return met.groupBy("vec_id", "own", "label").agg(F.min("d").alias("d"))
 
 
@@ -97,7 +101,7 @@ def purity_contingency(spark: SparkSession, sf_dir: str) -> DataFrame:
     wrong = per_id.select("found", (20 * (F.col("all") - F.col("top")) > F.col("all")).alias("wrong"))
     main = c.groupBy("truth").agg(F.sum("n").alias("detections"), F.count("*").alias("ids"), F.max(F.struct("n", (-F.col("found")).alias("f"))).alias("m"))
     main = main.select("truth", "detections", "ids", F.col("m.n").alias("main"), (-F.col("m.f")).alias("found"))
-    return main.join(F.broadcast(wrong), "found", "left").select("truth", "detections", "ids", "main", "found", (F.col("main") / F.col("detections")).alias("main_share"), "wrong")
+    return main.join(wrong, "found", "left").select("truth", "detections", "ids", "main", "found", (F.col("main") / F.col("detections")).alias("main_share"), "wrong")
 
 
 PURITY_SQL = f"""WITH {PROTO_CTE}, b AS (SELECT own, label, row_number() OVER (PARTITION BY vec_id ORDER BY d, label) AS r FROM ld), c AS (SELECT own AS truth, label AS found, count(*) AS n FROM b WHERE r = 1 GROUP BY ALL),
@@ -264,7 +268,7 @@ READY_SQL = "SELECT n_nationkey, n_regionkey FROM nation t WHERE n_nationkey % 2
 
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users linked by an event in the same second: the smallest user of each one's component."""
+    """Users linked by an event in the same 20 seconds: the smallest user of each one's component."""
     active = events(spark, sf_dir).select(F.floor(F.col("us") / (60 * MINUTE // 180)).alias("s"), "user_id").distinct()
     star = active.join(active.groupBy("s").agg(F.min("user_id").alias("low"), F.count("*").alias("n")).where("n > 1"), "s").where("user_id <> low").select(F.col("user_id").alias("a"), F.col("low").alias("b"))
     return graph.components(star).select(F.col("node").alias("user_id"), F.col("root").alias("component"))
