@@ -44,6 +44,8 @@ STAGE_WORDS = 5
 STAGE_SIMILARITY = 0.8
 #: A pair at the threshold has no band in common with a probability of (1 - 0.8^4)^27 < 1e-6.
 BANDS, BAND_ROWS = 27, 4
+#: Sets whose texts must be fetched, up to which their keys are broadcast (about 100 bytes each); beyond, the texts shuffle.
+BROADCAST_ROWS = 300_000
 _SLICE = 65536
 
 
@@ -308,7 +310,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     met = cut(skewed_join(cells, full.select("cell", "size", F.col("lead.set").alias("lead"), F.col("lead.n").alias("lead_n")), "cell", heavy), "near-met")
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     star = cut(met.where((F.col("set") != F.col("lead")) & _alike("n", "lead_n")).select(*pair("set", "lead")).distinct(), "near-star")
-    needed = distinct.join(met.select("set").distinct(), "set").select("set", "row")
+    needed = cut(distinct.join(met.select("set").distinct(), "set").select("set", "row"), "near-needed")
+    if needed.count() <= BROADCAST_ROWS:
+        needed = F.broadcast(needed)
     arrays = cut(_shingle_arrays(docs.select("row", "text").join(needed, "row").dropDuplicates(["set"])), "near-arrays")
     links = cut(_verified(star, arrays), "near-links")
     joined = components(links)
