@@ -325,6 +325,38 @@ def test_tokens_round_trip(spark, rows):
         at += n
 
 
+def test_word_encoder_equals_the_library():
+    enc = token_output.WordCachingEncoder(token_output.vocabulary_path())
+    rng = np.random.default_rng(17)
+    bits = ["École", "€5", "Œuvre", "😀", "Élan", "Привет", "Ärger", "<|", "İ", "don't", "I'M", "½", "ﬁ", "ΣΑΣ", "\u0301", "\u00a0", "\u2003", "ſ", "ŉ", "Ÿ", ".", ",", " ", "\n", "ǅ", "ẞ", "<|endoftext|>"]
+    for _ in range(20_000):
+        text = "".join(bits[rng.integers(len(bits))] if rng.random() < 0.5 else chr(rng.choice([rng.integers(32, 384), rng.integers(32, 0x3000)])) for _ in range(rng.integers(1, 8)))
+        assert enc.encode(text).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_numerals_are_no_letters():
+    assert not any(language_id.has_letter(t) for t in (None, "", "½", "²", "Ⅷ", "12 !"))
+    assert all(language_id.has_letter(t) for t in ("a", "ß", "½ x", "日"))
+
+
+def test_padding_leaves_no_trace():
+    net = language_id.ByteGru(["a", "b"], hidden=4)
+    alone, among = net.documents([b"some text"]), net.documents([b"some text", b"x" * 700, b"another one"])
+    assert np.allclose(alone[0], among[0], atol=1e-5)
+    assert np.allclose(net.probabilities(np.frombuffer(b"some text", dtype=np.uint8)[:, None]).mean(axis=0), net.documents([b"sometext"]), atol=0.5)
+
+
+def test_mixing_rates_match_another_solver(spark):
+    rng = np.random.default_rng(23)
+    p, n = rng.dirichlet((2, 1, 1), 300), rng.integers(1, 90, 300)
+    target = np.array([0.6, 0.25, 0.15])
+    history, _ = mixing.fit_rates(spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "n bigint, p array<double>"), target)
+    v, share = np.zeros(3), n / n.sum()
+    for _ in range(200_000):  # plain gradient steps on the prices
+        v += 0.5 * ((share * np.maximum(0, 1 - p @ v)) @ p - target)
+    assert np.abs(mixing.rates_of(p, history) - np.maximum(0, 1 - p @ v)).max() < 1e-3
+
+
 def test_dac_random_access():
     rng = np.random.default_rng(8)
     ids = np.concatenate([rng.integers(0, 2**k, 700) for k in (4, 8, 9, 16, 17, 25, 32)]).astype(np.uint32)
@@ -435,6 +467,7 @@ def test_secret_layers_reach_the_fixpoint():
     assert any(k.endswith("base64>unpack>base64>assign") for k in kinds)
     assert all(text[s:e] and 0 <= s < e <= len(text) for _, s, e in spans)
     assert secret_scan.all_spans("\\u0070assword=hunter22") == [("unicode>assign", 0, 22)]
+    assert secret_scan.all_spans("\\u{70}assword=hunter22") == [("unicode>assign", 0, 22)]
     assert secret_scan.all_spans("") == [] and secret_scan.all_spans("%%% \\u00 &#xD800; AAAAAAAAAAAAAAAAAAAAA") == []
 
 
