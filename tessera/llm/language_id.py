@@ -190,7 +190,7 @@ def predict(docs: DataFrame, model: ByteGru | None, keep: list[str], names: tupl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
-            texts = b.column("text").to_pylist()
+            texts = b.column(held).to_pylist()
             has = np.array([model is not None and has_letter(t) for t in texts], dtype=bool)
             lang, score = [NONE] * len(texts), np.zeros(len(texts))
             if has.any():
@@ -200,10 +200,14 @@ def predict(docs: DataFrame, model: ByteGru | None, keep: list[str], names: tupl
                 score[at] = np.clip(p[np.arange(len(at)), best], 0, 1)
                 for i, k in zip(at, best, strict=True):
                     lang[i] = model.labels[k]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(lang, type=pa.string()), pa.array(score)], names=[*keep, *names])
-
-    fields = ", ".join(f"{quoted(c)} {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*[F.col(quoted(c)) for c in dict.fromkeys([*keep, "text"])]).mapInArrow(run, f"{fields}, {names[0]} string, {names[1]} double")
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in plain), pa.array(lang, type=pa.string()), pa.array(score)], names=[*plain, *names])
+
+    plain = [f"_kept{k}" for k in range(len(keep))]  # mapInArrow can't take names with dots
+    held = plain[keep.index("text")] if "text" in keep else "text"
+    fields = ", ".join(f"{p} {docs.schema[c].dataType.simpleString()}" for p, c in zip(plain, keep, strict=True))
+    given = docs.select(*[F.col(quoted(c)).alias(p) for p, c in zip(plain, keep, strict=True)], *([] if "text" in keep else ["text"]))
+    found = given.mapInArrow(run, f"{fields}, {names[0]} string, {names[1]} double")
+    return found.select(*[F.col(p).alias(c) for p, c in zip(plain, keep, strict=True)], *names)
 
 
 def _held_out():

@@ -125,15 +125,19 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, sample_docs: int = SAMP
 
 def memberships(docs: DataFrame, model: Softmax, keep: list[str], names: tuple[str, str] = ("n", "p")) -> DataFrame:
     """``keep`` columns, tokens (words) and posterior of each domain, called ``names``, for every whole text; null counts as empty."""
+    held = f"_kept{keep.index('text')}" if "text" in keep else "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
-            texts = b.column("text").cast(pa.binary()).to_pylist()
+            texts = b.column(held).cast(pa.binary()).to_pylist()
             n = [len((t or b"").split()) for t in texts]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(n, type=pa.int64()), pa.array(model.posteriors(texts).tolist(), type=pa.list_(pa.float64()))], names=[*keep, *names])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in plain), pa.array(n, type=pa.int64()), pa.array(model.posteriors(texts).tolist(), type=pa.list_(pa.float64()))], names=[*plain, *names])
 
-    fields = ", ".join(f"{quoted(c)} {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*[F.col(quoted(c)) for c in dict.fromkeys([*keep, "text"])]).mapInArrow(run, f"{fields}, {names[0]} bigint, {names[1]} array<double>")
+    plain = [f"_kept{k}" for k in range(len(keep))]  # mapInArrow can't take names with dots
+    fields = ", ".join(f"{p} {docs.schema[c].dataType.simpleString()}" for p, c in zip(plain, keep, strict=True))
+    given = docs.select(*[F.col(quoted(c)).alias(p) for p, c in zip(plain, keep, strict=True)], *([] if "text" in keep else ["text"]))
+    found = given.mapInArrow(run, f"{fields}, {names[0]} bigint, {names[1]} array<double>")
+    return found.select(*[F.col(p).alias(c) for p, c in zip(plain, keep, strict=True)], *names)
 
 
 def rates_of(p: np.ndarray, history: list[np.ndarray]) -> np.ndarray:
