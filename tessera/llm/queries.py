@@ -9,6 +9,7 @@ from .license_scan import op5_template_join
 from .line_dedup import op8_fuzzy_lines
 from .mixing import op6_soft_mixing
 from .quality import op2_fourier_quality
+from .quality_rules import op11_robust_outliers
 from .secret_scan import op10_decoding_worklist
 from .simhash_dedup import op1_simhash_pivots
 from .token_output import op7_dac_tokens
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_fuzzy_lines": op8_fuzzy_lines,
     "op9_blockmax_bm25": op9_blockmax_bm25,
     "op10_decoding_worklist": op10_decoding_worklist,
+    "op11_robust_outliers": op11_robust_outliers,
 }
 
 ORACLE_SQL: dict[str, str] = {
