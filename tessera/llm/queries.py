@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan
+from . import decontaminate, license_scan, merkle, vector_codes
 from .decontaminate import op4_containment_search
 from .language_id import op3_byte_gru
 from .license_scan import op5_template_join
 from .line_dedup import op8_fuzzy_lines
+from .merkle import op12_block_manifest
 from .mixing import op6_soft_mixing
 from .quality import op2_fourier_quality
 from .quality_rules import op11_robust_outliers
@@ -14,6 +15,7 @@ from .secret_scan import op10_decoding_worklist
 from .simhash_dedup import op1_simhash_pivots
 from .token_output import op7_dac_tokens
 from .topk_search import op9_blockmax_bm25
+from .vector_codes import op13_exponion_codes
 
 QUERIES = {
     "op1_simhash_pivots": op1_simhash_pivots,
@@ -27,9 +29,13 @@ QUERIES = {
     "op9_blockmax_bm25": op9_blockmax_bm25,
     "op10_decoding_worklist": op10_decoding_worklist,
     "op11_robust_outliers": op11_robust_outliers,
+    "op12_block_manifest": op12_block_manifest,
+    "op13_exponion_codes": op13_exponion_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_containment_search": decontaminate.oracle_sql(),
     "op5_template_join": license_scan.oracle_sql(),
+    "op12_block_manifest": merkle.oracle_sql(),
+    "op13_exponion_codes": vector_codes.oracle_sql(),
 }
