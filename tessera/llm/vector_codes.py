@@ -22,12 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.skew import heavy_keys, skewed_join
-from .common import cut, small_batches, table
+from .common import cut, table
 
 PARTS = 8
 ENTRIES = 16
 ROUNDS = 6
 SCALE = 4096
+#: Vectors that a task takes at a time.
+ROWS = 50_000
 
 
 def limit(width: int) -> int:
@@ -64,20 +66,34 @@ class Codebook:
         for s in np.unique(start):
             rows = np.flatnonzero(start == s)
             reach = np.searchsorted(self.radius[s], 4 * first[rows], side="right")
-            rows = rows[np.argsort(-reach, kind="stable")]
-            reach = np.sort(reach)[::-1]
+            turn = np.argsort(-reach, kind="stable")  # rows that reach furthest come first
+            rows, reach = rows[turn], reach[turn]
+            own, low, at = np.ascontiguousarray(x[rows].T), first[rows], start[rows]
             for k in range(int(reach[0])):
                 e = self.order[s, k]
                 if e == s:
                     continue
-                near = rows[: np.searchsorted(-reach, -k, side="left")]  # rows whose radius holds the list's k-th
-                d = ((x[near] - self.entries[e]) ** 2).sum(axis=1)
-                n += len(near)
-                better = (d < best[near]) | ((d == best[near]) & (e < where[near]))
-                best[near[better]], where[near[better]] = d[better], e
+                m = np.searchsorted(-reach, -k, side="left")  # rows whose radius holds the list's k-th
+                d = ((own[:, :m] - self.entries[e][:, None]) ** 2).sum(axis=0)
+                n += m
+                better = (d < low[:m]) | ((d == low[:m]) & (e < at[:m]))
+                low[:m], at[:m] = np.where(better, d, low[:m]), np.where(better, e, at[:m])
+            best[rows], where[rows] = low, at
         return where, best, n
 
 
+def large_batches(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``rows`` rows, so that a search has many rows for each entry it starts at."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if sum(x.num_rows for x in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def assign(x: np.ndarray, history: list[list[Codebook]]) -> tuple[np.ndarray, np.ndarray]:
     """(rows, PARTS) entries and squared distances under the last of the codebooks in ``history``."""
     step = x.shape[1] // PARTS
@@ -102,7 +118,7 @@ def _next_books(kept: DataFrame, width: int, history: list[list[Codebook]]) -> l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((PARTS, count, step + 1), dtype=np.int64)
-        for b in small_batches(batches, 4096):
+        for b in large_batches(batches):
             x = components(b.column("v"), width)
             codes, _ = assign(x, history)
             for p in range(PARTS):
@@ -156,7 +172,7 @@ def encode(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", l
     width, history = fit_codebooks(vectors, key, vector)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, 4096):
+        for b in large_batches(batches):
             codes, errors = assign(components(b.column("v"), width), history)
             flat = pa.array(codes.astype(np.int32).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(codes) + 1) * PARTS, type=pa.int32()), flat)
