@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import graph, intervals, neighbours, scratch
 from ..sources import events, read_table
+from ..streaming import folds, replay
 from .event_sequences import DAY, EV, HOUR, MINUTE, SIDE
 from .reviews import _ALL_BEFORE, _SESSIONS, CENTS, _cents, _sessions
 
@@ -221,23 +220,18 @@ SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS zone, i
 
 
 # --- streams ---------------------------------------------------------------------------------------------------------
-def _replayed(spark: SparkSession, sf_dir: str, shape, mode: str) -> DataFrame:
-    """The result of a stream over the event log's file: everything there is, then the end."""
-    source = read_table(spark, sf_dir, "events")
-    stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
-    name, base = f"replay_{uuid.uuid4().hex}", scratch.shared_dir(spark)
-    if mode == "complete":
-        query = shape(stream).writeStream.outputMode(mode).format("memory").queryName(name)
-    else:
-        query = shape(stream).writeStream.outputMode(mode).format("parquet").option("path", f"{base}/{name}")
-    query.option("checkpointLocation", f"{base}/{name}-state").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name) if mode == "complete" else spark.read.parquet(f"{base}/{name}")
+LATE, BATCHES = "30 minutes", 4
+
+
+def _replayed(spark: SparkSession, sf_dir: str, shape) -> DataFrame:
+    """What a stream makes of the event log, its rows up to 29 minutes late and dealt to several batches."""
+    return replay.replayed(events(spark, sf_dir), lambda s: shape(s.withColumn("vote", F.expr(f"(({SIDE}) + 1) div 2").cast("int"))), "us", "event_id", BATCHES, 29 * MINUTE)
 
 
 def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sliding windows of 30 minutes every 5, kept by a stream: events and users (as a sum of ids) of each."""
-    shape = lambda s: s.groupBy(F.window("ts", "30 minutes", "5 minutes").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("user_id").alias("ids")).select(F.unix_micros("w.start").alias("start_us"), "event_type", "n", "ids")
-    return _replayed(spark, sf_dir, shape, "complete")
+    """Sliding windows of 30 minutes every 5, written once the watermark has passed them: events and users (as a sum of ids) of each."""
+    shape = lambda s: s.withWatermark("ts", LATE).groupBy(F.window("ts", "30 minutes", "5 minutes").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("user_id").alias("ids")).select(F.unix_micros("w.start").alias("start_us"), "event_type", "n", "ids")
+    return _replayed(spark, sf_dir, shape).where("event_type is not null")
 
 
 SLIDING_SQL = f"""WITH {EV}, w AS (SELECT *, us // {5 * MINUTE} * {5 * MINUTE} - k * {5 * MINUTE} AS start_us FROM ev, (SELECT unnest(range(6)) AS k))
@@ -245,25 +239,76 @@ SELECT start_us, event_type, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS ids
 
 
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tumbling windows of an hour kept by a stream, against the batch result."""
-    shape = lambda s: s.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.max("event_id").alias("last")).select(F.unix_micros("w.start").alias("start_us"), "n", "last")
-    return _replayed(spark, sf_dir, shape, "complete")
+    """Tumbling windows of an hour, written once the watermark has passed them."""
+    shape = lambda s: s.withWatermark("ts", LATE).groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("event_id").alias("n"), F.max("event_id").alias("last")).select(F.unix_micros("w.start").alias("start_us"), "n", "last")
+    return _replayed(spark, sf_dir, shape).where("n > 0")
 
 
 TUMBLING_SQL = f"WITH {EV} SELECT us // {HOUR} * {HOUR} AS start_us, count(*) AS n, max(event_id) AS last FROM ev GROUP BY us // {HOUR}"
 
 
 def stream_first_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated work in a stream: one result a (user, type) is kept; the pairs that came through."""
-    shape = lambda s: s.select("user_id", "event_type").dropDuplicates(["user_id", "event_type"])
-    return _replayed(spark, sf_dir, shape, "append")
+    """Repeated work in a stream: the pairs (user, type) that came through.
+
+    The stream keeps one result a pair and hour, with state for the last hour and the watermark only; what repeats over hours
+    is made one in the table that it has written.
+    """
+    shape = lambda s: s.withColumn("hour", F.date_trunc("hour", "ts")).withWatermark("hour", "90 minutes").dropDuplicates(["user_id", "event_type", "hour"]).select("user_id", "event_type")
+    return _replayed(spark, sf_dir, shape).where("user_id is not null").distinct()
 
 
 RESULTS_SQL = "SELECT DISTINCT user_id, event_type FROM events"
 
+
+def stream_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's side flips when seven tenths of at least three votes of the last six hours say so; the flip, and when the new side began."""
+    fold = folds.Debounce(6 * HOUR, 7, 3, HOUR)
+    shape = lambda s: folds.stream_fold(s, "user_id", "ts", "us", "event_id", ["vote"], fold, "at bigint, side int, began bigint", LATE)
+    return folds.finals(_replayed(spark, sf_dir, shape)).where("user_id is not null")
+
+
+STREAM_DEBOUNCE_SQL = f"""WITH {EV}, v AS (SELECT *, (({SIDE}) + 1) // 2 AS vote FROM ev),
+n AS (SELECT *, count(vote) OVER p AS n, sum(vote) OVER p AS ones, min(us) OVER p AS low, min(CASE WHEN vote = 1 THEN us END) OVER p AS one, min(CASE WHEN vote = 0 THEN us END) OVER p AS nil FROM v
+  WINDOW p AS (PARTITION BY user_id ORDER BY us RANGE BETWEEN {6 * HOUR} PRECEDING AND CURRENT ROW)),
+d AS (SELECT DISTINCT user_id, us, CASE WHEN ones * 10 >= n * 7 THEN 1 ELSE 0 END AS side, CASE WHEN ones * 10 >= n * 7 THEN one ELSE nil END AS began FROM n WHERE n >= 3 AND us - low >= {HOUR} AND (ones * 10 >= n * 7 OR (n - ones) * 10 >= n * 7)),
+f AS (SELECT *, lag(side) OVER (PARTITION BY user_id ORDER BY us) AS before FROM d)
+SELECT user_id, us AS at, side, began FROM f WHERE before <> side"""
+
+
+def stream_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches inside from crossings (views and clicks go in, purchases and signups out), joined again within 3 hours, closed by timers."""
+    fold = folds.Stretches(3 * HOUR, 20 * MINUTE)
+    kind = F.when(F.col("vote") == 1, "in").when(F.col("vote") == 0, "out")
+    shape = lambda s: folds.stream_fold(s.withColumn("kind", kind).where("kind is not null or event_id is null"), "user_id", "ts", "us", "event_id", ["kind"], fold, "start bigint, stop bigint, complete boolean", LATE)
+    return folds.finals(_replayed(spark, sf_dir, shape)).where("user_id is not null")
+
+
+STRETCHES_SQL = f"""WITH {EV}, c AS (SELECT *, CASE WHEN {SIDE} = 1 THEN 1 WHEN {SIDE} = -1 THEN 0 END AS inward FROM ev), x AS (SELECT * FROM c WHERE inward IS NOT NULL),
+p AS (SELECT *, lag(inward) OVER w AS before, lag(us) OVER w AS before_us FROM x WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
+s AS (SELECT *, count(*) FILTER (before IS NULL OR (before = 0 AND us - before_us > {3 * HOUR})) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS part FROM p),
+g AS (SELECT user_id, part, min(us) FILTER (inward = 1) AS start, max(us) FILTER (inward = 0) AS stop, arg_max(inward, (us, event_id)) AS ends FROM s GROUP BY user_id, part)
+SELECT user_id, start, stop, start IS NOT NULL AS complete FROM g WHERE ends = 0 AND (start IS NULL OR stop - start >= {20 * MINUTE})"""
+
+
+WORLD = {"hidden": 2 * DAY, "same": 0.9, "staff": 60}
+
+
+def sightings(log: DataFrame) -> DataFrame:
+    """``log`` with place (a sixth of the users), track (a user's day) and look, which follows from the user and the event's value."""
+    look = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.pmod(F.xxhash64("user_id", k), F.lit(2001)) - 1000 + F.col("value") * F.lit(0.05))
+    return log.withColumn("place", F.pmod("user_id", F.lit(6))).withColumn("track", F.expr(f"concat(user_id, '-', us div {DAY})")).withColumn("look", F.when(F.col("user_id").isNotNull(), look))
+
+
+def stream_world_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """People of a place from sightings, kept by a stream that forgets whom it hasn't seen for two days, but for the staff."""
+    shape = lambda s: folds.stream_fold(sightings(s), "place", "ts", "us", "event_id", ["track", "look"], folds.WorldPeople("event_id", **WORLD), "sight bigint, at bigint, person bigint", LATE)
+    return folds.finals(_replayed(spark, sf_dir, shape)).where("place is not null")
+
+
 QUERIES = {
     "knn_distinct": (knn_distinct, KNN_SQL), "pair_calibration": (pair_calibration, PAIR_SQL), "relation_conflicts": (relation_conflicts, CONFLICT_SQL), "rle_decode": (rle_decode, DECODE_SQL), "watched_time": (watched_time, WATCHED_SQL),
     "type_trace": (type_trace, TRACE_SQL), "why_not_joined": (why_not_joined, WHY_SQL), "truth_views": (truth_views, TRUTH_SQL), "world_segments": (world_segments, WORLD_SQL), "testset_pick": (testset_pick, TESTSET_SQL),
     "gate_sweep": (gate_sweep, SWEEP_SQL), "missed_causes": (missed_causes, MISSED_SQL), "crop_cadence": (crop_cadence, CADENCE_SQL), "validation_flags": (validation_flags, FLAGS_SQL), "segment_catalogue": (segment_catalogue, CATALOGUE_SQL),
     "log_rates": (log_rates, LOG_SQL), "stream_sliding": (stream_sliding, SLIDING_SQL), "stream_tumbling": (stream_tumbling, TUMBLING_SQL), "stream_first_results": (stream_first_results, RESULTS_SQL),
+    "stream_debounce": (stream_debounce, STREAM_DEBOUNCE_SQL), "stream_stretches": (stream_stretches, STRETCHES_SQL), "stream_world_people": (stream_world_people, None),
 }
