@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import day_visits, event_sequences, floor, joins, reports, reviews, scoring
+from . import day_visits, event_sequences, floor, joins, mask_views, reports, reviews, scoring
 
-_ALL = {**event_sequences.QUERIES, **joins.QUERIES, **scoring.QUERIES, **floor.QUERIES, **reviews.QUERIES, **reports.QUERIES, **day_visits.QUERIES}
+_ALL = {**event_sequences.QUERIES, **joins.QUERIES, **scoring.QUERIES, **floor.QUERIES, **reviews.QUERIES, **reports.QUERIES, **day_visits.QUERIES, **mask_views.QUERIES}
 
 QUERIES = {name: run for name, (run, _) in _ALL.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in _ALL.items() if sql}
