@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import geometry as g
+from ..operators.greedy import per_group
 from ..sources import events, read_table
 from .event_sequences import EV, HOUR
 
@@ -169,14 +171,27 @@ CLEAN_SQL = f"WITH {BOX}, {_MET} SELECT frame, det, CAST({_AREA} AS BIGINT) AS a
 
 
 def clean_looks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Looks worth keeping: tall, sure, untouched by others (IoU at most 0.05) and moved since the camera's last kept one."""
-    sure = _with_overlaps(_boxes(spark, sf_dir)).where("y1 - y0 >= 200 and conf >= 3 and iou <= 50")
-    before = F.lag("x0").over(Window.partitionBy("frame", "cam").orderBy("det", "x0", "y0", "x1", "y1", "iou"))
-    return sure.withColumn("before", before).where("before is null or abs(x0 - before) >= 40").select("frame", "det", "iou")
+    """Looks worth keeping: tall, sure, untouched by others (IoU at most 0.05) and moved since the camera's last kept one.
 
+    The last kept one, not the one before: a slow walk is kept every 40 pixels. A frame's few looks are walked in order.
+    """
 
-LOOKS_SQL = f"""WITH {BOX}, {_MET}, s AS (SELECT *, lag(x0) OVER (PARTITION BY frame, cam ORDER BY det, x0, y0, x1, y1, iou) AS before FROM o WHERE y1 - y0 >= 200 AND conf >= 3 AND iou <= 50)
-SELECT frame, det, iou FROM s WHERE before IS NULL OR abs(x0 - before) >= 40"""
+    def keep(f: pd.DataFrame) -> pd.DataFrame:
+        last, stay = None, []
+        for x in f["x0"]:
+            stay.append(last is None or abs(x - last) >= 40)
+            last = x if stay[-1] else last
+        return f[stay][["frame", "det", "iou"]]
+
+    sure = _with_overlaps(_boxes(spark, sf_dir)).where("y1 - y0 >= 200 and conf >= 3 and iou <= 50").select("frame", "cam", "det", *("x0", "y0", "x1", "y1"), "iou")
+    kinds = {c: sure.schema[c].dataType.simpleString() for c in ("frame", "det", "iou")}
+    return per_group(sure, ["frame", "cam"], ["det", "x0", "y0", "x1", "y1", "iou"], keep, ", ".join(f"{c} {k}" for c, k in kinds.items()))
+
+
+LOOKS_SQL = f"""WITH RECURSIVE {BOX}, {_MET}, s AS (SELECT *, row_number() OVER (PARTITION BY frame, cam ORDER BY det, x0, y0, x1, y1, iou) AS k FROM o WHERE y1 - y0 >= 200 AND conf >= 3 AND iou <= 50),
+t AS (SELECT frame, cam, k, det, iou, x0 AS last, true AS stays FROM s WHERE k = 1
+  UNION ALL SELECT s.frame, s.cam, s.k, s.det, s.iou, CASE WHEN abs(s.x0 - t.last) >= 40 THEN s.x0 ELSE t.last END, abs(s.x0 - t.last) >= 40 FROM t JOIN s ON s.frame = t.frame AND s.cam = t.cam AND s.k = t.k + 1)
+SELECT frame, det, iou FROM t WHERE stays"""
 
 
 def frame_hardness(spark: SparkSession, sf_dir: str) -> DataFrame:

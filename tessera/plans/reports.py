@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import graph, intervals, neighbours, scratch
+from ..operators import graph, intervals, neighbours, scratch, spacing
 from ..sources import events, read_table
 from ..streaming import folds, replay
 from .event_sequences import DAY, EV, HOUR, MINUTE, SIDE
@@ -219,6 +219,18 @@ LOG_SQL = f"""WITH {EV}, t AS (SELECT *, count(*) OVER (PARTITION BY user_id ORD
 SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS zone, in_day FROM t WHERE r <= 20"""
 
 
+def doubtful_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moments to slow down at: where a session of a shop (50 users) begins or ends, the first of those within 10 minutes of the last one kept."""
+    spans = _sessions(spark, sf_dir)
+    moments = spans.select(F.expr("user_id div 50").alias("shop"), F.explode(F.array("start", "end")).alias("us"))
+    return spacing.first_of_close(moments, ["shop"], "us", 10 * MINUTE)
+
+
+MOMENTS_SQL = f"""WITH RECURSIVE {_SESSIONS}, t AS (SELECT user_id // 50 AS shop, min(us) AS a, max(us) AS b FROM i GROUP BY user_id, island), m AS (SELECT DISTINCT shop, unnest([a, b]) AS us FROM t),
+kept AS (SELECT shop, min(us) AS us FROM m GROUP BY shop UNION ALL SELECT shop, us FROM (SELECT k.shop, min(m.us) AS us FROM kept k JOIN m ON m.shop = k.shop AND m.us > k.us + {10 * MINUTE} GROUP BY k.shop))
+SELECT shop, us FROM kept"""
+
+
 # --- streams ---------------------------------------------------------------------------------------------------------
 LATE, BATCHES = "30 minutes", 4
 
@@ -309,6 +321,6 @@ QUERIES = {
     "knn_distinct": (knn_distinct, KNN_SQL), "pair_calibration": (pair_calibration, PAIR_SQL), "relation_conflicts": (relation_conflicts, CONFLICT_SQL), "rle_decode": (rle_decode, DECODE_SQL), "watched_time": (watched_time, WATCHED_SQL),
     "type_trace": (type_trace, TRACE_SQL), "why_not_joined": (why_not_joined, WHY_SQL), "truth_views": (truth_views, TRUTH_SQL), "world_segments": (world_segments, WORLD_SQL), "testset_pick": (testset_pick, TESTSET_SQL),
     "gate_sweep": (gate_sweep, SWEEP_SQL), "missed_causes": (missed_causes, MISSED_SQL), "crop_cadence": (crop_cadence, CADENCE_SQL), "validation_flags": (validation_flags, FLAGS_SQL), "segment_catalogue": (segment_catalogue, CATALOGUE_SQL),
-    "log_rates": (log_rates, LOG_SQL), "stream_sliding": (stream_sliding, SLIDING_SQL), "stream_tumbling": (stream_tumbling, TUMBLING_SQL), "stream_first_results": (stream_first_results, RESULTS_SQL),
+    "log_rates": (log_rates, LOG_SQL), "stream_sliding": (stream_sliding, SLIDING_SQL), "stream_tumbling": (stream_tumbling, TUMBLING_SQL), "doubtful_moments": (doubtful_moments, MOMENTS_SQL), "stream_first_results": (stream_first_results, RESULTS_SQL),
     "stream_debounce": (stream_debounce, STREAM_DEBOUNCE_SQL), "stream_stretches": (stream_stretches, STRETCHES_SQL), "stream_world_people": (stream_world_people, None),
 }
