@@ -180,20 +180,23 @@ def _template_sql() -> str:
 
 
 def oracle_sql() -> str:
-    """The same result stated plainly: every block of every text against every template."""
+    """The same result stated plainly: words as rows, phrases by the words that follow, every block of a template's width that begins with one of its tokens."""
     fold = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
-    places = " UNION ALL ".join(
-        f"SELECT doc_id, i - 1 AS place, '{label}' AS label FROM at_word WHERE " + " AND ".join(f"w[i + {k}] = '{p}'" for k, p in enumerate(phrase.split())) for phrase, label in PHRASES
-    )
+    longest = max(len(phrase.split()) for phrase, _ in PHRASES)
+    following = ", ".join(f"lead(x, {k}) OVER w AS x{k}" for k in range(1, longest))
+    places = " UNION ALL ".join(f"SELECT doc_id, i AS place, '{label}' AS label FROM ahead WHERE " + " AND ".join(f"x{k or ''} = '{p}'" for k, p in enumerate(phrase.split())) for phrase, label in PHRASES)
     return rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({fold.format("text")}, {word}) AS w FROM documents),
-at_word AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+at_word AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM d),
+ahead AS (SELECT *, {following} FROM at_word WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 places AS ({places}),
 base AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list_sort(list(DISTINCT label)) AS base FROM places GROUP BY doc_id),
-templates AS ({_template_sql()}),
-blocks AS (SELECT doc_id, label, tokens, list_intersect(w[i:i + width - 1], tokens) AS held FROM at_word, templates),
-hits AS (SELECT doc_id, label, len(held) / len(tokens) AS c FROM blocks WHERE len(held) >= ceil({THRESHOLD} * len(tokens) - 1e-9)),
+templates AS (SELECT template, label, width, len(tokens) AS n, unnest(tokens) AS x FROM ({_template_sql()})),
+held AS (SELECT doc_id, template, label, width, n, x, i FROM at_word JOIN templates USING (x)),
+full_ AS (SELECT doc_id, template FROM held GROUP BY doc_id, template HAVING count(DISTINCT x) >= ceil({THRESHOLD} * any_value(n) - 1e-9)),
+blocks AS (SELECT doc_id, label, n, count(DISTINCT x) OVER (PARTITION BY doc_id, template ORDER BY i RANGE BETWEEN CURRENT ROW AND width - 1 FOLLOWING) AS n_held FROM held JOIN full_ USING (doc_id, template)),
+hits AS (SELECT doc_id, label, n_held / n AS c FROM blocks WHERE n_held >= ceil({THRESHOLD} * n - 1e-9)),
 met AS (SELECT doc_id, list(DISTINCT label) AS labels, max(c) AS c FROM hits GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
   coalesce(array_to_string(base, ','), '') AS base_labels,
