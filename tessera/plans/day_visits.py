@@ -11,11 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import merging
-from ..operators.intervals import bucketed_overlap_join
+from ..operators import grids, merging
+from ..operators.intervals import bucketed_overlap_join, sessions
 from ..operators.scratch import cut
 from ..sources import events
 from .event_sequences import DAY, EV, HOUR, MINUTE
+from .reviews import _SESSIONS
 
 CLIP, NEAR, CAP, SHOP = 8 * HOUR, 20 * MINUTE, 3, 50
 ORDER = ["stage", "us", "eid"]
@@ -103,6 +104,25 @@ def day_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merging.capped_pairs(open_, ["distance", "gap"], CAP)
 
 
+PRICES, LIMITS, APART = [0, 20, 80], [400, 1_000, 2_500], 40 * MINUTE
+
+
+def stitch_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What joining a shop's sessions of a day would give for each price of a minute's gap and each limit: people whole, groups mixed.
+
+    Two sessions may be one person's if one ends up to 40 minutes before the other; their looks differ by their mean values in
+    cents. Sessions at the same time are different people.
+    """
+    spans = sessions(events(spark, sf_dir).withColumn("cents", F.expr("CAST(round(value * 100) AS BIGINT)")), ["user_id"], "us", 30 * MINUTE, F.min("event_id").alias("node"), F.sum("cents").alias("cents"))
+    spans = cut(spans.select("node", "user_id", F.expr(f"user_id div {SHOP}").alias("shop"), F.expr(f"start div {DAY}").alias("day"), "start", "end", "n", "cents"), "grid-spans")
+    late = spans.withColumn("stop", F.col("end") + APART)
+    other = spans.select("shop", "day", *[F.col(c).alias(f"{c}2") for c in ("node", "start", "end", "n", "cents")])
+    near = bucketed_overlap_join(late, other, ["shop", "day"], ("start", "stop"), ("start2", "end2"), HOUR).where("node <> node2")
+    ahead = near.where("start2 > end").select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"), F.expr("abs(cents * n2 - cents2 * n) div (n * n2)").alias("look"), F.expr(f"(start2 - end) div {MINUTE}").alias("gap"))
+    both = near.where("node < node2 and start2 <= end and start <= end2").select(F.col("node").alias("a"), F.col("node2").alias("b"))
+    return grids.grid_scores(grids.merge_grid(ahead, both, PRICES, LIMITS), spans.select("node", F.col("user_id").alias("person"))).select("price", "limit", "people", "whole", "n_groups", "mixed")
+
+
 _CLIP = lambda us, grid: f"(2 * floor(({us} + {grid} * {CLIP // 2}) / {CLIP}) + {grid})::BIGINT"
 _TABLES = f"""{EV}, k AS (SELECT *, user_id // {SHOP} AS shop, CAST(round(value * 100) AS BIGINT) AS cents FROM ev),
 g AS (SELECT *, {_CLIP('us', 'grid')} AS clip FROM k, range(2) t(grid)), h AS (SELECT *, clip * 10000000 + user_id AS node FROM g),
@@ -137,4 +157,21 @@ taken AS (  -- one pair a step: the ends of the pairs taken so far
   UNION ALL SELECT s.shop, s.day, s.k, CASE WHEN {_OK} THEN list_concat(t.used, [s.a, s.b]) ELSE t.used END, s.a, s.b, s.distance, s.gap, {_OK} FROM taken t JOIN asks s ON s.shop = t.shop AND s.day = t.day AND s.k = t.k + 1)
 SELECT a, b, distance, gap FROM taken WHERE ok"""
 
-QUERIES = {"day_visits": (day_visits, VISITS_SQL), "day_links": (day_links, LINKS_SQL), "day_proposals": (day_proposals, PROPOSALS_SQL)}
+GRID_SQL = f"""WITH RECURSIVE {_SESSIONS.replace("ev AS (SELECT event_id", "ev AS (SELECT CAST(round(value * 100) AS BIGINT) AS cents, event_id", 1)},
+s AS (SELECT min(event_id) AS node, user_id, user_id // {SHOP} AS shop, min(us) // {DAY} AS day, min(us) AS start, max(us) AS stop, count(*) AS n, sum(cents)::BIGINT AS cents FROM i GROUP BY user_id, island),
+c AS (SELECT x.shop, x.day, least(x.node, y.node) AS a, greatest(x.node, y.node) AS b, abs(x.cents * y.n - y.cents * x.n) // (x.n * y.n) AS look, (y.start - x.stop) // {MINUTE} AS gap FROM s x JOIN s y ON x.shop = y.shop AND x.day = y.day AND y.start > x.stop AND y.start <= x.stop + {APART}),
+d AS (SELECT x.shop, x.day, list([x.node, y.node]) AS apart FROM s x JOIN s y ON x.shop = y.shop AND x.day = y.day AND x.node < y.node AND y.start <= x.stop AND x.start <= y.stop GROUP BY x.shop, x.day),
+e AS (SELECT *, look + price * gap AS cost FROM c, (SELECT unnest({PRICES}) AS price)),
+steps AS (SELECT *, row_number() OVER (PARTITION BY shop, day, price ORDER BY cost, a, b) AS k FROM e WHERE cost <= {max(LIMITS)}),
+nodes AS (SELECT shop, day, a AS node FROM c UNION SELECT shop, day, b FROM c),
+fold AS (SELECT shop, day, price, 0::BIGINT AS k, map(list(node), list(node)) AS root, -1::BIGINT AS cost FROM nodes, (SELECT unnest({PRICES}) AS price) GROUP BY shop, day, price
+  UNION ALL SELECT o.shop, o.day, o.price, o.k, CASE WHEN o.lo <> o.hi AND len(list_filter(coalesce(d.apart, []), lambda m: o.root[m[1]] IN (o.lo, o.hi) AND o.root[m[2]] IN (o.lo, o.hi))) = 0
+    THEN map_from_entries(list_transform(map_entries(o.root), lambda m: {{'key': m.key, 'value': CASE WHEN m.value = o.hi THEN o.lo ELSE m.value END}})) ELSE o.root END, o.cost
+  FROM (SELECT s.shop, s.day, s.price, s.k, f.root, s.cost, least(f.root[s.a], f.root[s.b]) AS lo, greatest(f.root[s.a], f.root[s.b]) AS hi FROM fold f JOIN steps s ON s.shop = f.shop AND s.day = f.day AND s.price = f.price AND s.k = f.k + 1) o
+  LEFT JOIN d ON d.shop = o.shop AND d.day = o.day),
+ends AS (SELECT shop, day, price, lim, max_by(root, k) AS root FROM fold, (SELECT unnest({LIMITS}) AS lim) WHERE cost <= lim GROUP BY shop, day, price, lim),
+groups_ AS (SELECT n.node, e.price, e.lim, e.root[n.node] AS root, s.user_id FROM nodes n JOIN ends e ON e.shop = n.shop AND e.day = n.day JOIN s ON s.node = n.node),
+w AS (SELECT price, lim, user_id, count(DISTINCT root) AS n FROM groups_ GROUP BY ALL), m AS (SELECT price, lim, root, min(user_id) <> max(user_id) AS mixed FROM groups_ GROUP BY ALL)
+SELECT price, lim AS "limit", (SELECT count(*) FROM w WHERE w.price = x.price AND w.lim = x.lim) AS people, (SELECT count(*) FROM w WHERE w.price = x.price AND w.lim = x.lim AND n = 1) AS whole, count(*) AS n_groups, count(*) FILTER (mixed) AS mixed FROM m x GROUP BY price, lim"""
+
+QUERIES = {"stitch_grid": (stitch_grid, GRID_SQL), "day_visits": (day_visits, VISITS_SQL), "day_links": (day_links, LINKS_SQL), "day_proposals": (day_proposals, PROPOSALS_SQL)}
