@@ -2,7 +2,7 @@
 
 Every text is scanned with the base patterns. Then layers are unwrapped from a worklist until nothing new appears: URL
 (%XX), Unicode (\\uXXXX, \\u{X...}, \\UXXXXXXXX, \\xXX, &#n;), base64 (both alphabets, from each of the four alignments, wrapped lines
-joined) and compressed bytes (zlib, gzip, bzip2, all members) inside base64. Bytes needn't be clean text: those outside UTF-8
+joined) and compressed bytes (zlib, gzip, bzip2, all members) inside base64 or written as %XX or \\xXX. Bytes needn't be clean text: those outside UTF-8
 stand for themselves, and UTF-16 stretches are read too. Archives are read as streams, in windows that end where no match
 can go on. Each new layer is scanned again and its matches are mapped back to the characters of the original text they came
 from. A layer whose content was already seen at the same place is not opened again, which ends cycles such as an archive
@@ -40,6 +40,12 @@ _WORDS = ("passw", "secret", "token", "api")
 _URL = re.compile(r"%[0-9A-Fa-f]{2}")
 _UNICODE = re.compile(r"\\u(?:([0-9A-Fa-f]{4})|\{0*([0-9A-Fa-f]{1,6})\})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)*={0,2}")
+_NARROW = re.compile(r"(?:[A-Za-z0-9+/_-]{4,15}\r?\n[\x20\t]*){3,}[A-Za-z0-9+/_-]+={0,2}")  # base64 in lines shorter than those of _BASE64
+_URL_BYTES = re.compile(r"[A-Za-z0-9_.~-]{0,12}%[0-9A-Fa-f]{2}(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~/!*'()-])+")
+_HEX_BYTES = re.compile(r"[\x21-\x5b\x5d-\x7e]{0,12}\\x[0-9A-Fa-f]{2}(?:\\x[0-9A-Fa-f]{2}|\\[nrt'\"\\]|[\x20-\x5b\x5d-\x7e])+")
+_LEAD = 12  # plain characters that may stand before the first escape
+_UNIT = re.compile(r"%[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2}|\\[nrt'\"\\]|.")
+_BYTE_OF = {"\\n": 10, "\\r": 13, "\\t": 9, "\\'": 39, '\\"': 34, "\\\\": 92}
 _MAGIC = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda", b"BZh")
 _ARCHIVE = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\x78[\x01\x5e\x9c\xda]")
 _TELLING = re.compile(rb"[A-Za-z0-9+/_.=-]{6}|%[0-9A-Fa-f]{2}|\\[uUx]|&#")  # every pattern and escape holds one of these
@@ -123,7 +129,7 @@ def _unpacked(pieces: Iterator[bytes], used: list[int] | None = None) -> Iterato
         fed += len(piece)
         while data:
             if d is None:
-                if not data.startswith(_MAGIC):
+                if not data.startswith(_MAGIC) and not _zlib_head(data):
                     if len(data) < 3:
                         break  # the next member's head may go on in the next piece
                     return
@@ -187,9 +193,39 @@ def _layers_of(raw: bytes, start: np.ndarray, end: np.ndarray, path: str) -> Ite
             yield _Layer(text, start[m.start() : m.end() : 2], end[m.start() + 1 : m.end() : 2], np.ones(len(text), dtype=bool), path)
 
 
+def _heads(raw: bytes, lead: int = 0) -> list[int]:
+    """Where compressed bytes may begin: known heads anywhere; up to ``lead`` bytes after the beginning any zlib head, by its own check."""
+    return sorted({x.start() for x in _ARCHIVE.finditer(raw)} | {k for k in range(lead + 1) if _zlib_head(raw[k : k + 3])})
+
+
+def _zlib_head(raw: bytes) -> bool:
+    return len(raw) > 2 and raw[0] & 15 == 8 and raw[0] >> 4 <= 7 and not raw[1] & 32 and (raw[0] << 8 | raw[1]) % 31 == 0
+
+
+def _unpack_layers(raw: bytes, start: np.ndarray, end: np.ndarray, path: str, whole: int, found: list[Span], lead: int = 0) -> Iterator[_Layer]:
+    """Layers of the archives in decoded bytes. An archive that is all of them ends at ``whole``, its last character's padding included."""
+    past = 0
+    for head in _heads(raw, lead):
+        if head < past:
+            continue
+        low, high = int(start[head]), int(whole if head == 0 else end[-1])
+        seen, depth, inside, used = {raw[head : head + _PIECE]}, 1, path, []
+        while (first := next(_stream(memoryview(raw)[head:], depth), None)) is not None and first not in seen:
+            seen.add(first)
+            inside += "unpack>"
+            for window, cut in _windows(_stream(memoryview(raw)[head:], depth, used)):
+                if cut:
+                    found.append((f"{inside}oversize", low, high))
+                yield from _layers_of(window, np.full(len(window), low), np.full(len(window), high), inside)
+            depth += 1
+        if used:
+            past = head + used[0]
+
+
 def _opened(layer: _Layer, found: list[Span]) -> Iterator[_Layer]:
     """Layers inside base64 runs of a layer."""
-    for m in _BASE64.finditer(layer.text):
+    runs = [*_BASE64.finditer(layer.text), *(_NARROW.finditer(layer.text) if "\n" in layer.text else ())]
+    for m in runs:
         run, at = m.group().rstrip("="), None
         if "\n" in run:
             kept = np.array([i for i, c in enumerate(run) if c not in "\r\n\t "])
@@ -198,43 +234,41 @@ def _opened(layer: _Layer, found: list[Span]) -> Iterator[_Layer]:
         for skip in range(4):
             part = run[skip : len(run) - ((len(run) - skip) % 4 == 1)]
             raw = base64.b64decode(part + "=" * (-len(part) % 4))
-            heads = [x.start() for x in _ARCHIVE.finditer(raw)]
-            if not heads and not _TELLING.search(raw) and b"\x00" not in raw:
+            if not _heads(raw) and not _TELLING.search(raw) and b"\x00" not in raw:
                 continue
             k = np.arange(len(raw))
             place = at if at is not None else np.arange(m.start(), m.start() + len(run))
             start, end, path = layer.start[place[skip + k * 8 // 6]], layer.end[place[skip + np.minimum((k * 8 + 7) // 6, len(part) - 1)]], f"{layer.path}base64>"
             yield from _layers_of(raw, start, end, path)
-            past = 0
-            for head in heads:
-                if head < past:
-                    continue
-                # a whole run that is an archive is reported whole, as is its last character's padding
-                low, high = int(start[head]), int(layer.end[m.end() - 1] if head == 0 and skip == 0 else end[-1])
-                seen, depth, inside, used = {raw[head : head + _PIECE]}, 1, path, []
-                while (first := next(_stream(memoryview(raw)[head:], depth), None)) is not None and first not in seen:
-                    seen.add(first)
-                    inside += "unpack>"
-                    for window, cut in _windows(_stream(memoryview(raw)[head:], depth, used)):
-                        if cut:
-                            found.append((f"{inside}oversize", low, high))
-                        yield from _layers_of(window, np.full(len(window), low), np.full(len(window), high), inside)
-                    depth += 1
-                if used:
-                    past = head + used[0]
+            yield from _unpack_layers(raw, start, end, path, layer.end[m.end() - 1] if skip == 0 else end[-1], found)
+
+
+def _bytes_in_escapes(layer: _Layer, found: list[Span]) -> Iterator[_Layer]:
+    """Layers of runs of %XX or \\xXX, with the plain characters among them, that are bytes rather than text: archives and UTF-16."""
+    for pattern, mark, name in ((_URL_BYTES, "%", "url"), (_HEX_BYTES, "\\x", "unicode")):
+        for m in pattern.finditer(layer.text) if mark in layer.text else ():
+            units = [(u.start(), u.end(), _BYTE_OF.get(u.group()) if u.group() in _BYTE_OF else int(u.group()[-2:], 16) if len(u.group()) > 2 else ord(u.group())) for u in _UNIT.finditer(layer.text, m.start(), m.end())]
+            raw = bytes(v for _, _, v in units)
+            if not _heads(raw, _LEAD) and b"\x00" not in raw:
+                continue
+            start, end, path = layer.start[[s for s, _, _ in units]], layer.end[[e - 1 for _, e, _ in units]], f"{layer.path}{name}>"
+            if b"\x00" in raw:
+                yield from _layers_of(raw, start, end, path)
+            yield from _unpack_layers(raw, start, end, path, end[-1], found, _LEAD)
 
 
 def _inner(layer: _Layer, found: list[Span]) -> Iterator[_Layer]:
     new = [_substituted(layer, re.compile(f"(?:{_URL.pattern})+"), "url", _url) if "%" in layer.text else None, _substituted(layer, _UNICODE, "unicode", _unicode) if "\\" in layer.text or "&#" in layer.text else None]
     yield from (x for x in new if x is not None and len(x.text))
     yield from _opened(layer, found)
+    yield from _bytes_in_escapes(layer, found)
 
 
 def all_spans(text: str) -> list[Span]:
     """Base spans and those of decoded layers (kind prefixed with the layers, as in "url>base64>assign"), by start, then base kinds first."""
     found: list[Span] = []
     base = base_spans(text)
-    if "%" in text or "\\" in text or "&#" in text or _BASE64.search(text):
+    if "%" in text or "\\" in text or "&#" in text or _BASE64.search(text) or ("\n" in text and _NARROW.search(text)):
         at = np.arange(len(text))
         whole = _Layer(text, at, at + 1, np.zeros(len(text), dtype=bool), "")
         work, seen = [iter([whole])], set()

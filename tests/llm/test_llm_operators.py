@@ -513,6 +513,24 @@ def test_secrets_in_large_archives(monkeypatch):
         assert any(x == "base64>unpack>assign" for x, _, _ in secret_scan.all_spans(_in_base64(gzip.compress(raw))))
 
 
+@pytest.mark.parametrize("raw", [gzip.compress(SECRET), bz2.compress(SECRET), zlib.compress(SECRET), zlib.compress(SECRET, wbits=12), SECRET.decode().encode("utf-16-le"), gzip.compress(zlib.compress(SECRET))])
+def test_secrets_in_bytes_written_as_escapes(raw):
+    from urllib.parse import quote
+
+    for text in (quote(raw), "".join(f"%{b:02x}" for b in raw), repr(raw)[2:-1], "".join(f"\\x{b:02X}" for b in raw)):
+        spans = [x for x in secret_scan.all_spans(f"see {text} end") if x[0].endswith(">assign")]
+        assert spans and all(4 <= s < e <= 4 + len(text) + 4 for _, s, e in spans), text
+    assert any(k.startswith("base64>") and k.endswith("assign") for k, _, _ in secret_scan.all_spans(_in_base64(raw)))
+
+
+@pytest.mark.parametrize("columns", [4, 8, 15])
+def test_secrets_in_narrow_base64(columns):
+    for raw in (SECRET, gzip.compress(SECRET)):
+        line = _in_base64(raw)
+        text = "see\n\n" + "\n".join(line[k : k + columns] for k in range(0, len(line), columns)) + "\n\nend."
+        assert any(k.startswith("base64>") and k.endswith("assign") for k, _, _ in secret_scan.all_spans(text))
+
+
 def test_secret_scan_of_odd_rows(spark, rows):
     got = secret_scan.scan_secrets(_docs(spark, rows)).collect()
     assert len(got) == len(rows) and all(r["spans"] == [] for r in got)
