@@ -40,7 +40,7 @@ _WORDS = ("passw", "secret", "token", "api")
 _URL = re.compile(r"%[0-9A-Fa-f]{2}")
 _UNICODE = re.compile(r"\\u(?:([0-9A-Fa-f]{4})|\{0*([0-9A-Fa-f]{1,6})\})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)*={0,2}")
-_NARROW = re.compile(r"(?:[A-Za-z0-9+/_-]{4,15}\r?\n[\x20\t]*){2,}[A-Za-z0-9+/_-]+={0,2}")  # base64 in lines shorter than those of _BASE64
+_NARROW = re.compile(r"(?:[A-Za-z0-9+/_-]{4,15}\r?\n[\x20\t]*){2,}[A-Za-z0-9+/_-]*={0,2}")  # base64 in lines shorter than those of _BASE64
 _URL_BYTES = re.compile(r"[A-Za-z0-9_.~-]{0,12}%[0-9A-Fa-f]{2}(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~/!*'()-])+")
 _HEX_BYTES = re.compile(r"[\x21-\x5b\x5d-\x7e]{0,12}\\x[0-9A-Fa-f]{2}(?:\\x[0-9A-Fa-f]{2}|\\[nrt'\"\\]|[\x20-\x5b\x5d-\x7e])+")
 _LEAD = 12  # plain characters that may stand before the first escape
