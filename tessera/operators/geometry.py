@@ -26,14 +26,23 @@ class Camera:
         return (sy, -cy, 0.0), (-cy * sp, -sy * sp, -cp), (cy * cp, sy * cp, -sp)
 
 
-def undistorted(cam: Camera, u: str, v: str, rounds: int = 3) -> tuple[str, str]:
-    """Normalised image coordinates without radial distortion, by fixed-point rounds."""
+def undistorted(cam: Camera, u: str, v: str) -> tuple[str, str]:
+    """Normalised image coordinates without radial distortion.
+
+    A point at radius r is seen at R = r (1 + k1 r²); r is the cubic's root next to zero in closed form. Beyond the radius where a
+    barrel lens (k1 < 0) folds the image over, the fold's radius holds.
+    """
     a, b = f"(({u} - {cam.cx!r}) / {cam.focal!r})", f"(({v} - {cam.cy!r}) / {cam.focal!r})"
-    x, y = a, b
-    for _ in range(rounds if cam.k1 else 0):
-        scale = f"(1.0 + {cam.k1!r} * ({x} * {x} + {y} * {y}))"
-        x, y = f"({a} / {scale})", f"({b} / {scale})"
-    return x, y
+    if not cam.k1:
+        return a, b
+    seen = f"sqrt({a} * {a} + {b} * {b})"
+    size, turn = 2 / math.sqrt(3 * abs(cam.k1)), 1.5 * math.sqrt(3 * abs(cam.k1))
+    if cam.k1 < 0:
+        root = f"{size!r} * cos(acos(greatest(-1.0, -{turn!r} * {seen})) / 3.0 - {2 * math.pi / 3!r})"
+    else:
+        root = f"{size!r} * sinh(asinh({turn!r} * {seen}) / 3.0)"
+    scale = f"(CASE WHEN {seen} > 1e-9 THEN {root} / {seen} ELSE 1.0 END)"
+    return f"({a} * {scale})", f"({b} * {scale})"
 
 
 def ray(cam: Camera, x: str, y: str) -> list[str]:
