@@ -189,3 +189,66 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 def op11_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("distance2")
+
+
+def oracle_sql() -> str:
+    """The same stated over rows: windows as texts, covered words counted one by one, every step of the estimate as a table."""
+    x = [
+        "ln((word_chars + 150) / (n_words + 30))", "sqrt(n_symbols / (word_chars + 150))", "sqrt(n_dup_lines / (n_lines + 4))", "sqrt(n_repeat_words / (n_words + 30))",
+    ]
+    pairs = [(i, j) for i in range(P) for j in range(i + 1)]
+    model = ", ".join([f"m{i}" for i in range(P)] + [f"l{i}{j}" for i, j in pairs])
+    floors = f"[{', '.join(repr(f) for f in FLOOR)}]"
+    bins = lambda d: f"floor(log2(greatest({d}, {LEAST!r})) * {BIN})::INT"
+
+    def distances(name: str, of: str) -> str:
+        """Forward substitution, a column at a time."""
+        steps, at = [], f"(SELECT f.*, {model} FROM fit f JOIN {of} USING (k))"
+        for i in range(P):
+            steps.append(f"{name}{i} AS (SELECT *, (x{i} - m{i}{''.join(f' - l{i}{j} * y{j}' for j in range(i))}) / l{i}{i} AS y{i} FROM {at})")
+            at = f"{name}{i}"
+        return ",\n".join([*steps, f"{name} AS (SELECT *, {' + '.join(f'y{i} * y{i}' for i in range(P))} AS d2 FROM {at})"])
+
+    def estimate(name: str, of: str, last: bool) -> str:
+        """Means and the Cholesky factor of the rows up to the edge."""
+        edge = "half" if not last else f"greatest(half, {bins(f'greatest(2.0 ** ((half + 1) / {BIN}) / {MEDIAN}, 1.0) * {REWEIGHT}')})"
+        moments = ", ".join([f"avg(x{i}) AS m{i}" for i in range(P)] + [f"sum(x{i} * x{j})::DOUBLE / count(*) AS q{i}{j}" for i, j in pairs])
+        steps, at = [], f"{name}s"
+        for j in range(P):
+            rest = lambda i: f"q{i}{j} - m{i} * m{j}" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))  # noqa: B023, E731
+            steps.append(f"{name}d{j} AS (SELECT *, sqrt(greatest({rest(j)}, 0.0) + {floors}[{j + 1}] ** 2) AS l{j}{j} FROM {at})")
+            below = "".join(f", ({rest(i)}) / l{j}{j} AS l{i}{j}" for i in range(j + 1, P))
+            steps.append(f"{name}e{j} AS (SELECT *{below} FROM {name}d{j})")
+            at = f"{name}e{j}"
+        return ",\n".join([
+            distances(f"{name}y", of), f"{name}b AS MATERIALIZED (SELECT *, {bins('d2')} AS b, row_number() OVER (PARTITION BY k ORDER BY {bins('d2')}) AS r, count(*) OVER (PARTITION BY k) AS n FROM {name}y)",
+            f"{name}h AS (SELECT k, min(b) FILTER (2 * r >= n) AS half FROM {name}b GROUP BY k)",
+            f"{name}s AS (SELECT k, {moments} FROM {name}b JOIN {name}h USING (k) WHERE b <= {edge} GROUP BY k)", *steps, f"{name} AS MATERIALIZED (SELECT k, {model} FROM {at})",
+        ])
+
+    rounds, of = [], "start"
+    for k in range(STEPS + 1):
+        rounds.append(estimate(f"r{k}", of, k == STEPS))
+        of = f"r{k}"
+    quartile = lambda c, share: f"min(v) FILTER (c = {c} AND r >= {share} * n)"
+    start = ", ".join([f"{quartile(i, 0.5)} * 8.0 + 4 AS m{i}" for i in range(P)] + [f"greatest(({quartile(i, 0.75)} - {quartile(i, 0.25)}) * 8 / 1.349, {FLOOR[i]!r}) AS l{i}{j}" if i == j else f"0.0 AS l{i}{j}" for i, j in pairs])
+    named = lambda c: f"coalesce(length({c}) || ':' || {c}, '-')"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS row_, doc_id, {named('lang')} || '|' || {named('source')} AS g, {named('lang')} || '|*' AS by_lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT row_, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+grams AS (SELECT row_, i, array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS s FROM (SELECT row_, w, unnest(range(1, len(w) - {SHINGLE - 2})) AS i FROM w)),
+twice AS (SELECT row_, i FROM grams JOIN (SELECT row_, s FROM grams GROUP BY row_, s HAVING count(*) > 1) USING (row_, s)),
+covered AS (SELECT row_, count(DISTINCT i + k) AS n FROM twice, range({SHINGLE}) u(k) GROUP BY row_),
+lines AS (SELECT row_, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+counts AS (SELECT d.row_, doc_id, g, by_lang, len(w.w)::BIGINT AS n_words, length(array_to_string(w.w, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '{SYMBOLS}', '', 'g')))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
+  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words FROM d JOIN w USING (row_) JOIN lines USING (row_) LEFT JOIN covered c USING (row_)),
+judged AS MATERIALIZED (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words AS base_failed, {', '.join(f'floor({e} * {SCALE} + 0.5)::BIGINT AS x{i}' for i, e in enumerate(x))} FROM counts),
+ok AS (SELECT *, count(*) OVER (PARTITION BY g) AS n_g FROM judged WHERE NOT base_failed),
+pooled AS (SELECT *, CASE WHEN n_g >= {MIN_ROWS} THEN g ELSE by_lang END AS k1 FROM ok),
+pooled2 AS (SELECT *, CASE WHEN k1 = by_lang AND count(*) OVER (PARTITION BY k1) < {MIN_ROWS} THEN '*' ELSE k1 END AS k FROM pooled),
+fit AS MATERIALIZED (SELECT row_, k, {', '.join(X)} FROM pooled2 QUALIFY count(*) OVER (PARTITION BY k) >= {MIN_ROWS}),
+cells AS (SELECT k, c, v, row_number() OVER (PARTITION BY k, c ORDER BY v) AS r, count(*) OVER (PARTITION BY k, c) AS n FROM (SELECT k, unnest(range({P})) AS c, unnest([{', '.join(f'floor(x{i} / 8)' for i in range(P))}]) AS v FROM fit)),
+start AS MATERIALIZED (SELECT k, {start} FROM cells GROUP BY k),
+{", ".join(rounds)},
+{distances("final", of)}
+SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(f.d2 <= {CUTOFF}, true) AS kept FROM judged j LEFT JOIN final f USING (row_)"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, merkle, vector_codes
+from . import decontaminate, license_scan, merkle, quality_rules, vector_codes
 from .decontaminate import op4_containment_search
 from .language_id import op3_byte_gru
 from .license_scan import op5_template_join
@@ -36,6 +36,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op4_containment_search": decontaminate.oracle_sql(),
     "op5_template_join": license_scan.oracle_sql(),
+    "op11_robust_outliers": quality_rules.oracle_sql(),
     "op12_block_manifest": merkle.oracle_sql(),
     "op13_exponion_codes": vector_codes.oracle_sql(),
 }

@@ -222,7 +222,7 @@ def test_exponion_search_is_exact_and_skips_entries():
     assert n < 3000 * 4  # from the right entry, few others lie within the radius
 
 
-@pytest.mark.parametrize("module, name, tables", [(merkle, "op12_block_manifest", ["documents"]), (vector_codes, "op13_exponion_codes", ["embeddings"])])
+@pytest.mark.parametrize("module, name, tables", [(quality_rules, "op11_robust_outliers", ["documents"]), (merkle, "op12_block_manifest", ["documents"]), (vector_codes, "op13_exponion_codes", ["embeddings"])])
 def test_queries_equal_their_sql(spark, module, name, tables):
     con = duckdb.connect()
     for t in tables:
