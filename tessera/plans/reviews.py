@@ -397,7 +397,7 @@ SELECT user_id, props, cents, edits FROM o WHERE r = 1 AND event_type <> 'error'
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Optimistic writers: a user's events expect revision (zone mod 3); those that expect the current revision stand and raise it."""
+    """Optimistic writers: a user's k-th event expects revision k div 2; those that expect the current revision stand and raise it."""
     ops = events(spark, sf_dir).withColumn("seq", F.row_number().over(Window.partitionBy("user_id").orderBy("us", "event_id"))).selectExpr("user_id", "event_id", "CAST(seq AS BIGINT) AS seq", "CAST(seq div 2 AS BIGINT) AS expected")
     return overlay.accepted(ops, ["user_id"]).select("user_id", "event_id", "revision")
 

@@ -62,7 +62,10 @@ TOPK_SQL = f"WITH {PROTO_CTE}, r AS (SELECT vec_id, label, d, row_number() OVER
 
 
 def fpr_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The distance that 2 % of different-label pairs stay under, and the share of same-label pairs it keeps."""
+    """Of vectors and their nearest prototype of each label: the distance that 2 % stay under with other labels, and the share it keeps with their own.
+
+    A vector is part of its own label's prototype; ``pair_calibration`` has the pairs of vectors themselves.
+    """
     d = _label_distances(spark, sf_dir).withColumn("same", F.col("own") == F.col("label"))
     gate = d.where("not same").agg(F.percentile(F.col("d").cast("double"), 0.02).alias("gate"))
     return d.join(F.broadcast(gate)).groupBy("gate").agg(
@@ -77,7 +80,7 @@ quantile_cont(CAST(d AS DOUBLE), 0.5) FILTER (own = label) AS median_same, quant
 
 
 def pair_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chance that a same-label pair is nearer than a different-label one, ties counted half; from counts of each distance, so no global sort of rows."""
+    """Chance that a vector is nearer to its own label's prototypes than a vector to another label's, ties counted half; from counts of each distance, so no global sort of rows."""
     hist = _label_distances(spark, sf_dir).groupBy("d").agg(F.count_if(F.col("own") == F.col("label")).alias("s"), F.count_if(F.col("own") != F.col("label")).alias("o"))
     later = Window.orderBy(F.desc("d")).rowsBetween(Window.unboundedPreceding, -1)
     won = hist.withColumn("beyond", F.coalesce(F.sum("o").over(later), F.lit(0)))
