@@ -448,9 +448,14 @@ count(*) FILTER (refused = 'person') AS bad_person, count(*) FILTER (refused = '
 
 
 def content_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per day the signature a cached build is kept under: rows and the sum of their hashes, whatever their order."""
-    row = F.expr("CAST(conv(substr(md5(concat_ws('|', event_id, user_id, event_type)), 1, 12), 16, 10) AS BIGINT)")
-    return events(spark, sf_dir).groupBy(F.expr(f"us div {DAY}").alias("day")).agg(F.count("*").alias("n"), F.sum(row).alias("signature"))
+    """Per day the signature a cached build is kept under: rows and the sum of their hashes, whatever their order.
+
+    From some 65,000 rows a day on the sum may exceed 64 bits; it then wraps around as a signed 64-bit number.
+    """
+    row = F.expr("CAST(conv(substr(md5(concat_ws('|', event_id, user_id, event_type)), 1, 12), 16, 10) AS DECIMAL(18, 0))")
+    sums = events(spark, sf_dir).groupBy(F.expr(f"us div {DAY}").alias("day")).agg(F.count("*").alias("n"), F.sum(row).alias("s"))
+    wrapped = sums.withColumn("s", F.expr(f"s % CAST({2**64} AS DECIMAL(20, 0))"))
+    return wrapped.select("day", "n", F.expr(f"CAST(CASE WHEN s >= CAST({2**63} AS DECIMAL(20, 0)) THEN s - CAST({2**64} AS DECIMAL(20, 0)) ELSE s END AS BIGINT)").alias("signature"))
 
 
 SIGNATURE_SQL = f"""WITH {EV} SELECT us // {DAY} AS day, count(*) AS n, CAST(sum(CAST('0x' || substr(md5(concat_ws('|', event_id, user_id, event_type)), 1, 12) AS BIGINT)) AS BIGINT) AS signature FROM ev GROUP BY us // {DAY}"""
