@@ -29,3 +29,17 @@ def test_signature_of_a_day_beyond_64_bits(spark, tmp_path):
     assert total >= 2**63
     (row,) = catalogue.QUERIES["content_signatures"](spark, str(tmp_path)).collect()
     assert row["n"] == 200000 and row["signature"] == (total + 2**63) % 2**64 - 2**63
+
+
+def test_orders_of_a_customer_at_the_same_moment(spark, tmp_path):
+    """Against a loop: the SQL's two windows may order equal rows differently in DuckDB, which then splits them."""
+    write_table(tmp_path, "orders", "range(6000) t(o)", "o AS o_orderkey, o % 50 AS o_custkey, TIMESTAMP '2024-01-01' + to_days(CAST(o * 7919 % 900 AS INT) // 3 * 3) AS o_orderdate")
+    want = []
+    for who, start in duckdb.sql(f"SELECT o_custkey, epoch_us(o_orderdate) AS a FROM '{tmp_path}/orders.parquet' ORDER BY 1, 2").fetchall():
+        end = start + 30 * 86_400_000_000
+        if want and want[-1][0] == who and start <= want[-1][2]:
+            want[-1][2:] = [end, want[-1][3] + 1]
+        else:
+            want.append([who, start, end, 1])
+    got = catalogue.QUERIES["interval_union"](spark, str(tmp_path)).select("o_custkey", "start_us", "end_us", "n").collect()
+    assert sorted(map(list, got)) == want
