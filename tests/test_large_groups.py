@@ -3,7 +3,9 @@
 import hashlib
 
 import duckdb
+import pytest
 
+from tessera.operators import pair_blocks
 from tessera.plans import catalogue
 
 
@@ -17,7 +19,7 @@ def sql_rows(folder, name, *tables):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     got = con.execute(catalogue.ORACLE_SQL[name])
     names = [d[0] for d in got.description]
-    return names, sorted(got.fetchall())
+    return names, sorted(got.fetchall(), key=lambda r: tuple((x is None, x) for x in r))
 
 
 EVENTS = "e AS event_id, TIMESTAMP '2024-01-01' + to_seconds(e % 80000) AS ts, e % 500 AS user_id, ['view', 'click', 'purchase', 'signup', 'error'][1 + e % 5] AS event_type, CAST(e % 97 AS DOUBLE) AS value, '{\"k\": 1}' AS props"
@@ -43,3 +45,16 @@ def test_orders_of_a_customer_at_the_same_moment(spark, tmp_path):
             want.append([who, start, end, 1])
     got = catalogue.QUERIES["interval_union"](spark, str(tmp_path)).select("o_custkey", "start_us", "end_us", "n").collect()
     assert sorted(map(list, got)) == want
+
+
+@pytest.mark.parametrize("name", ["colocation_median", "cannot_links", "same_time_rivals"])
+def test_pairs_of_busy_hours_are_folded_without_shuffling_meetings(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(pair_blocks, "BLOCK_ROWS", 1000)
+    monkeypatch.setattr(pair_blocks, "MEETINGS", 5000)
+    some = EVENTS.replace("e % 500 AS user_id", "nullif(hash(e) % 211, 7)::BIGINT AS user_id").replace("CAST(e % 97 AS DOUBLE)", "CASE WHEN hash(e + 1) % 5 > 0 THEN CAST(hash(e) % 97 AS DOUBLE) END").replace("e % 80000", "e % 9000")
+    write_table(tmp_path, "events", "range(9000) t(e)", some)
+    names, want = sql_rows(tmp_path, name, "events")
+    got = catalogue.QUERIES[name](spark, str(tmp_path)).select(*names)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key) and (len(want) > 100 or name == "cannot_links")
