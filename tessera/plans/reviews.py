@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import intervals, overlay
+from ..operators import intervals, overlay, pair_blocks
 from ..sources import events, read_table
 from .event_sequences import _SESSION_CTE, DAY, EV, HOUR, MINUTE
 
@@ -25,13 +26,20 @@ CENTS = f"{EV}, k AS (SELECT *, CAST(round(value * 100) AS BIGINT) AS cents FROM
 
 
 # --- joins -----------------------------------------------------------------------------------------------------------
+def _always_apart(code, size, left, right):
+    """Pairs that meet twice or more and whose values are over 2000 apart each time; unknown values aren't."""
+    (low, high), (olow, ohigh) = left, right
+    common = np.bincount(code, minlength=size)
+    apart = ((low - ohigh > 2000) | (olow - high > 2000)) & (low != pair_blocks.NULL) & (olow != pair_blocks.NULL)
+    near = np.bincount(code[~apart], minlength=size)
+    pair = np.flatnonzero((common >= 2) & (near == 0))
+    return pair, common[pair], common[pair]
+
+
 def cannot_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of users that cannot be one person: seen in the same hour at least twice, values over 20 apart each time."""
     hourly = _cents(spark, sf_dir).groupBy("user_id", F.expr(f"us div {HOUR}").alias("hour")).agg(F.min("cents").alias("low"), F.max("cents").alias("high"))
-    other = hourly.select("hour", F.col("user_id").alias("other"), F.col("low").alias("olow"), F.col("high").alias("ohigh"))
-    met = hourly.join(other, "hour").where("user_id < other")
-    apart = F.expr("low - ohigh > 2000 OR olow - high > 2000")
-    return met.groupBy("user_id", "other").agg(F.count("*").alias("common"), F.count_if(apart).alias("apart")).where("common >= 2 and apart = common")
+    return pair_blocks.fold_pairs(hourly, "user_id", "hour", ["low", "high"], _always_apart, "user_id bigint, other bigint, common bigint, apart bigint")
 
 
 CANNOT_SQL = f"""WITH {CENTS}, h AS (SELECT user_id, us // {HOUR} AS hour, min(cents) AS low, max(cents) AS high FROM k GROUP BY user_id, us // {HOUR})
