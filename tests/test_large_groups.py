@@ -58,3 +58,13 @@ def test_pairs_of_busy_hours_are_folded_without_shuffling_meetings(spark, tmp_pa
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
     key = lambda r: tuple((x is None, x) for x in r)
     assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key) and (len(want) > 100 or name == "cannot_links")
+
+
+@pytest.mark.parametrize("name", ["edge_questions", "break_candidates"])
+def test_neighbours_in_busy_hours_are_found_without_making_pairs(spark, tmp_path, name):
+    some = EVENTS.replace("e % 500 AS user_id", "nullif(hash(e) % 300, 7)::BIGINT AS user_id").replace("CAST(e % 97 AS DOUBLE)", "CASE WHEN hash(e + 1) % 5 > 0 THEN CAST(hash(e) % 97 AS DOUBLE) END").replace("e % 80000", "hash(e + 2) % 2000 * 41")
+    write_table(tmp_path, "events", "range(4000) t(e)", some)
+    names, want = sql_rows(tmp_path, name, "events")
+    got = catalogue.QUERIES[name](spark, str(tmp_path)).select(*names)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 1000
