@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import intervals, overlay, pair_blocks
+from ..operators import intervals, nearby, overlay, pair_blocks
+from ..operators.scratch import cut
 from ..sources import events, read_table
 from .event_sequences import _SESSION_CTE, DAY, EV, HOUR, MINUTE
 
@@ -80,11 +81,12 @@ SELECT day, user_id, next, gap_us FROM m WHERE n1 = 1 AND n2 = 1"""
 
 def break_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions that begin up to 10 minutes after another user's session ended, with values at most 20 apart: the nearest end each."""
-    made = intervals.sessions(_cents(spark, sf_dir), ["user_id"], "us", 30 * MINUTE, F.min_by("cents", F.struct("us", "event_id")).alias("c0"), F.max_by("cents", F.struct("us", "event_id")).alias("c1"))
-    slot = 10 * MINUTE
-    ended = made.select(F.col("user_id").alias("before"), F.col("end").alias("stop"), "c1", F.explode(F.expr(f"array(end div {slot}, end div {slot} + 1)")).alias("slot"))
-    met = made.select("user_id", "start", "c0", F.expr(f"start div {slot}").alias("slot")).join(ended, "slot").where(f"user_id <> before and start > stop and start - stop <= {slot} and abs(c0 - c1) <= 2000")
-    return met.groupBy("user_id", "start").agg(F.max(F.struct("stop", "before")).alias("m"), F.count("*").alias("n")).select("user_id", "start", F.col("m.before").alias("before"), F.expr("start - m.stop").alias("gap_us"), "n")
+    at = F.expr("CASE WHEN cents IS NOT NULL THEN struct(us, event_id) END")
+    made = intervals.sessions(_cents(spark, sf_dir), ["user_id"], "us", 30 * MINUTE, F.min_by("cents", at).alias("c0"), F.max_by("cents", at).alias("c1"))
+    made = cut(made.select("user_id", "start", "end", "c0", "c1"), "pieces")
+    # a user's own pieces lie over 30 minutes apart, so none is found for itself
+    found = nearby.last_alike(made.selectExpr("user_id AS who", "end AS t", "c1 AS x"), made.selectExpr("user_id AS who", "start AS t", "c0 AS x"), 10 * MINUTE, 2000)
+    return found.selectExpr("key AS user_id", "start", "before", "start - stop AS gap_us", "n")
 
 
 BREAK_SQL = f"""WITH {_SESSIONS.replace('SELECT event_id, user_id, event_type, value,', 'SELECT event_id, user_id, event_type, value, CAST(round(value * 100) AS BIGINT) AS cents,')},
