@@ -22,27 +22,31 @@ def track(df: DataFrame, keys: list[str], ident: str, time: str, at: list[str],
     def run(f: pd.DataFrame) -> pd.DataFrame:
         names = np.full(len(f), -1, dtype=np.int64)
         pos, when, ids = f[at].to_numpy(dtype=float), f[time].to_numpy(dtype=float), f[ident].to_numpy()
-        live: list[dict] = []
-        for t in np.unique(when):
-            rows = np.flatnonzero(when == t)
-            live = [x for x in live if t - x["t"] <= max_gap]
-            taken: set[int] = set()
-            if live:
-                gap = np.array([t - x["t"] for x in live])
-                ahead = np.stack([x["p"] + x["v"] * (t - x["t"]) for x in live])
-                d = np.linalg.norm(ahead[:, None, :] - pos[None, rows, :], axis=2)
+        where, speed, last, name = np.empty((0, len(at))), np.empty((0, len(at))), np.empty(0), np.empty(0, dtype=np.int64)
+        order = np.argsort(when, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(when[order])) + 1):
+            t = when[rows[0]]
+            fresh = t - last <= max_gap
+            if not fresh.all():
+                where, speed, last, name = where[fresh], speed[fresh], last[fresh], name[fresh]
+            free = np.ones(len(rows), dtype=bool)
+            if len(last):
+                gap = t - last
+                ahead = where + speed * gap[:, None]
+                d = np.sqrt(sum((ahead[:, None, k] - pos[None, rows, k]) ** 2 for k in range(len(at))))
                 ok = d <= (gate + growth * gap)[:, None]
-                for i, j in assignment(np.where(ok, d, FAR)):
+                near = np.flatnonzero(ok.any(axis=1))
+                for k, j in assignment(np.where(ok[near], d[near], FAR)):
+                    i = near[k]
                     if ok[i, j]:
-                        x, p = live[i], pos[rows[j]]
-                        x["v"] = momentum * x["v"] + (1 - momentum) * (p - x["p"]) / max(t - x["t"], 1e-9)
-                        x["p"], x["t"] = p, t
-                        names[rows[j]] = x["name"]
-                        taken.add(j)
-            for j in range(len(rows)):
-                if j not in taken:
-                    names[rows[j]] = ids[rows[j]]
-                    live.append({"p": pos[rows[j]], "v": np.zeros(len(at)), "t": t, "name": ids[rows[j]]})
+                        p = pos[rows[j]]
+                        speed[i] = momentum * speed[i] + (1 - momentum) * (p - where[i]) / max(t - last[i], 1e-9)
+                        where[i], last[i], names[rows[j]], free[j] = p, t, name[i], False
+            new = rows[free]
+            if len(new):
+                names[new] = ids[new]
+                where, speed = np.concatenate([where, pos[new]]), np.concatenate([speed, np.zeros((len(new), len(at)))])
+                last, name = np.append(last, np.full(len(new), t)), np.append(name, ids[new])
         _, back, count = np.unique(names, return_inverse=True, return_counts=True)
         short = count[back] < min_length
         return f[[*keys, ident]].assign(track=pd.arrays.IntegerArray(names, short))

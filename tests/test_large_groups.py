@@ -1,11 +1,14 @@
 """Days, hours and customers that hold far more rows than the small tables do."""
 
 import hashlib
+import itertools
 
 import duckdb
+import numpy as np
 import pytest
 
 from tessera.operators import pair_blocks
+from tessera.operators.greedy import assignment, per_group
 from tessera.plans import catalogue
 
 
@@ -68,3 +71,15 @@ def test_neighbours_in_busy_hours_are_found_without_making_pairs(spark, tmp_path
     got = catalogue.QUERIES[name](spark, str(tmp_path)).select(*names)
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, got.collect())) == want and len(want) > 1000
+
+
+def test_groups_keep_their_tasks_and_many_columns_are_narrowed(spark):
+    rng = np.random.default_rng(3)
+    df = spark.range(4000).selectExpr("id % 40 AS k", "id")
+    own = per_group(df, ["k"], ["id"], lambda f: f, "k bigint, id bigint").selectExpr("spark_partition_id() AS p").distinct().count()
+    assert own == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cost = rng.random((4, 500))
+    few = sorted({int(j) for row in cost for j in np.argsort(row)[:4]})
+    best = min(sum(cost[i, j] for i, j in enumerate(p)) for p in itertools.permutations(few, 4))
+    got = assignment(cost)
+    assert len({j for _, j in got}) == 4 and abs(sum(cost[i, j] for i, j in got) - best) < 1e-12
