@@ -68,9 +68,9 @@ def seam_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = events(spark, sf_dir).withColumn("day", day).groupBy("user_id", "day").agg(F.min("us").alias("first"), F.max("us").alias("last"))
     late = ends.where(f"(day + 1) * {DAY} - last <= {3 * HOUR}").select(F.expr("day + 1").alias("day"), F.expr("user_id % 41").alias("cam"), "user_id", "last")
     early = ends.where(f"first - day * {DAY} <= {3 * HOUR}").select("day", F.expr("user_id % 41").alias("cam"), F.col("user_id").alias("next"), "first")
-    met = late.join(early, ["day", "cam"])
-    alone = lambda c: F.count("*").over(Window.partitionBy("day", "cam", c))
-    return met.withColumn("n1", alone("user_id")).withColumn("n2", alone("next")).where("n1 = 1 and n2 = 1").select("day", "user_id", "next", F.expr("first - last").alias("gap_us"))
+    # all of a day and camera are each other's candidates, so a pair stands alone where either side has one row
+    alone = lambda side, *columns: side.groupBy("day", "cam").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in columns]).where("n = 1").drop("n")
+    return alone(late, "user_id", "last").join(alone(early, "next", "first"), ["day", "cam"]).select("day", "user_id", "next", F.expr("first - last").alias("gap_us"))
 
 
 SEAM_SQL = f"""WITH {EV}, e AS (SELECT user_id, us // {DAY} AS day, min(us) AS first, max(us) AS last FROM ev GROUP BY user_id, us // {DAY}),

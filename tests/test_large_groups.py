@@ -83,3 +83,12 @@ def test_groups_keep_their_tasks_and_many_columns_are_narrowed(spark):
     best = min(sum(cost[i, j] for i, j in enumerate(p)) for p in itertools.permutations(few, 4))
     got = assignment(cost)
     assert len({j for _, j in got}) == 4 and abs(sum(cost[i, j] for i, j in got) - best) < 1e-12
+
+
+def test_lone_seam_pairs_are_found_before_the_join(spark, tmp_path):
+    some = EVENTS.replace("to_seconds(e % 80000)", "to_seconds(CAST(hash(e) % 864000 AS BIGINT))").replace("e % 500 AS user_id", "(hash(e + 1) % 90)::BIGINT AS user_id")
+    write_table(tmp_path, "events", "range(1500) t(e)", some)
+    names, want = sql_rows(tmp_path, "seam_pairs", "events")
+    got = catalogue.QUERIES["seam_pairs"](spark, str(tmp_path)).select(*names)
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 10
