@@ -5,10 +5,11 @@ import itertools
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
-from tessera.operators import pair_blocks
-from tessera.operators.greedy import assignment, per_group
+from tessera.operators import greedy, pair_blocks
+from tessera.operators.greedy import assignment, per_group, per_groups, suppress
 from tessera.plans import catalogue
 
 
@@ -92,3 +93,23 @@ def test_lone_seam_pairs_are_found_before_the_join(spark, tmp_path):
     got = catalogue.QUERIES["seam_pairs"](spark, str(tmp_path)).select(*names)
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, got.collect())) == want and len(want) > 10
+
+
+def test_many_groups_share_a_call_and_nulls_are_one_key(spark):
+    df = spark.range(3_000).selectExpr("CASE WHEN id >= 90 THEN id div 3 END AS k", "id")
+    seen = per_groups(df.coalesce(1), ["k"], ["id"], lambda f, group: pd.DataFrame({"n": [group.max() + 1], "rows": [len(f)]}), "n bigint, rows bigint").collect()
+    assert sum(r["n"] for r in seen) == 971 and sum(r["rows"] for r in seen) == 3_000 and len(seen) <= 3 * 8
+
+
+def test_suppression_of_a_long_island_and_of_a_null_key(spark):
+    rng = np.random.default_rng(3)
+    rows = [(u, k, int(t), float(s)) for u in (None, 7) for k, (t, s) in enumerate(zip(rng.integers(0, 40_000, 2_000), rng.integers(0, 50, 2_000)))]
+    got = {(r["u"], r["i"]) for r in suppress(spark.createDataFrame(rows, "u int, i bigint, t bigint, s double"), ["u"], "i", "t", "s", 30).collect()}
+    want = set()
+    for u in (None, 7):
+        kept = []
+        for _, i, t, _ in sorted((r for r in rows if r[0] == u), key=lambda r: (-r[3], r[2], r[1])):
+            if all(abs(t - x) >= 30 for x in kept):
+                kept.append(t)
+                want.add((u, i))
+    assert got == want
