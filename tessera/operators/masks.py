@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .greedy import assignment, per_group
+from .greedy import assignment, per_group, per_groups
 from .scratch import cut
 
 BOX = ("x0", "y0", "x1", "y1")
@@ -126,32 +126,39 @@ def assign_pairs(pairs: DataFrame, keys: list[str], weight: str = "weight") -> D
     So no matrix is larger than a part, and a key with few overlaps costs what its overlaps do.
     """
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        a, b, w = f["a"].to_numpy(), f["b"].to_numpy(), f[weight].to_numpy(dtype=float)
-        rows, i = np.unique(a, return_inverse=True)
-        cols, j = np.unique(b, return_inverse=True)
-        label = np.arange(len(rows) + len(cols))
+    def coded(group: np.ndarray, ends: pd.Series) -> np.ndarray:
+        own, kinds = pd.factorize(ends, sort=True)
+        return np.unique(group * (len(kinds) + 1) + own, return_inverse=True)[1]
+
+    def run(f: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
+        w, i, j = f[weight].to_numpy(dtype=float), coded(group, f["a"]), coded(group, f["b"])
+        left = i.max() + 1
+        label = np.arange(left + j.max() + 1)
         while True:  # smallest label of either end
             low = label.copy()
-            np.minimum.at(low, i, label[len(rows) + j])
-            np.minimum.at(low, len(rows) + j, label[i])
+            np.minimum.at(low, i, label[left + j])
+            np.minimum.at(low, left + j, label[i])
             low = low[low]
             if (low == label).all():
                 break
             label = low
-        keep = []
-        for part in np.unique(label[i]):
-            own = np.flatnonzero(label[i] == part)
-            r, ri = np.unique(i[own], return_inverse=True)
-            c, ci = np.unique(j[own], return_inverse=True)
-            gain, at = np.zeros((len(r), len(c))), np.full((len(r), len(c)), -1)
-            gain[ri, ci], at[ri, ci] = w[own], own
-            keep += [at[x, y] for x, y in assignment(-gain) if at[x, y] >= 0]
+        order = np.argsort(label[i], kind="stable")
+        begin = np.flatnonzero(np.diff(label[i][order], prepend=-1))
+        end = np.append(begin[1:], len(order))
+        keep = order[begin[end - begin == 1]].tolist()
+        for x, y in zip(begin[end - begin > 1].tolist(), end[end - begin > 1].tolist(), strict=True):
+            own = order[x:y]
+            ri, ci = i[own].tolist(), j[own].tolist()
+            r, c = ({k: at for at, k in enumerate(sorted(set(side)))} for side in (ri, ci))
+            gain, at = [[-0.0] * len(c) for _ in r], {}
+            for k, p, q, g in zip(own.tolist(), ri, ci, w[own].tolist(), strict=True):
+                gain[r[p]][c[q]], at[r[p], c[q]] = -g, k
+            keep += [at[pair] for pair in assignment(gain) if pair in at]
         return f.iloc[sorted(keep)][[*keys, "a", "b", weight]]
 
     rows = pairs.select(*keys, "a", "b", F.col(weight).cast("double").alias(weight)).where(F.col(weight) > 0)
     fields = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in [*keys, "a", "b", weight])
-    return per_group(rows, keys, ["a", "b"], run, fields)
+    return per_groups(rows, keys, ["a", "b"], run, fields)
 
 
 def transfer_labels(detections: DataFrame, truth: DataFrame, keys: list[str], least: float = 0.5, cell: int = 64) -> DataFrame:

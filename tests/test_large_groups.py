@@ -113,3 +113,11 @@ def test_suppression_of_a_long_island_and_of_a_null_key(spark):
                 kept.append(t)
                 want.add((u, i))
     assert got == want
+
+
+def test_small_assignments_take_the_same_steps(monkeypatch):
+    rng = np.random.default_rng(8)
+    costs = [rng.integers(0, 4, (n, m)) / 4 for n in (1, 2, 5, 9) for m in (1, 3, 9, 20) for _ in range(5)]
+    small = [assignment(c) for c in costs]
+    monkeypatch.setattr(greedy, "SMALL", 0)
+    assert small == [assignment(c) for c in costs]
