@@ -7,18 +7,26 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of a block; a task holds two blocks and their products at a time.
-BLOCK = 2048
+#: Vectors of a block at most; a task holds two blocks. Every vector is copied once or twice for each block, so blocks are as large as memory allows.
+BLOCK = 32768
+#: Small tables are dealt to PARTS blocks, of SMALL vectors at least, to occupy more tasks.
+PARTS, SMALL = 8, 2048
+#: Products that a task holds at a time.
+CELLS = 1 << 22
+#: Distances in 1e-6 lie between 0 and this but for rounding.
+TOP = 2_000_000
 
 
-def _block_pairs(vectors: DataFrame, ident: str, vector: str, carry: str) -> DataFrame:
-    """(x, y, side, ident, vector, carry): every block x met with every block y."""
-    n = max(1, -(-vectors.count() // BLOCK))
+def _block_pairs(vectors: DataFrame, ident: str, vector: str, carry: str, once: bool) -> DataFrame:
+    """(x, y, side, ident, vector, carry): every block x met with every block y, with ``once`` only for x <= y; a task takes a few of the pairs."""
+    rows = vectors.count()
+    n = max(1, -(-rows // BLOCK), min(PARTS, -(-rows // SMALL)))
     dealt = vectors.select(F.pmod(F.xxhash64(ident), F.lit(n)).cast("int").alias("own"), ident, vector, carry)
-    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = dealt.withColumn("y", every).select(F.col("own").alias("x"), "y", F.lit(0).alias("side"), ident, vector, carry)
-    right = dealt.withColumn("x", every).select("x", F.col("own").alias("y"), F.lit(1).alias("side"), ident, vector, carry)
-    return left.union(right)
+    every = lambda low, high: F.explode(F.sequence(low, high))
+    own, zero, last = F.col("own"), F.lit(0), F.lit(n - 1)
+    left = dealt.withColumn("y", every(own if once else zero, last)).select(own.alias("x"), "y", F.lit(0).alias("side"), ident, vector, carry)
+    right = dealt.withColumn("x", every(zero, own if once else last)).select("x", own.alias("y"), F.lit(1).alias("side"), ident, vector, carry)
+    return left.union(right).repartition(2 * n * n, "x", "y")  # by size alone, a few tasks would get all the products
 
 
 def nearest_vectors(vectors: DataFrame, ident: str, vector: str, carry: str, k: int) -> DataFrame:
@@ -37,15 +45,16 @@ def nearest_vectors(vectors: DataFrame, ident: str, vector: str, carry: str, k:
         va, vb = (unit(np.stack(x[vector].to_numpy()).astype(np.float64)) for x in (a, b))
         ia, ib, note = a[ident].to_numpy(), b[ident].to_numpy(), b[carry].to_numpy()
         out = []
-        for at in range(0, len(ia), 256):
-            d = np.floor((1 - va[at : at + 256] @ vb.T) * 1e6 + 0.5).astype(np.int64)
-            d[ia[at : at + 256, None] == ib[None, :]] = 1 << 40
+        step = max(1, CELLS // len(ib))
+        for at in range(0, len(ia), step):
+            d = np.floor((1 - va[at : at + step] @ vb.T) * 1e6 + 0.5).astype(np.int64)
+            d[ia[at : at + step, None] == ib[None, :]] = 1 << 40
             kth = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
             i, j = np.nonzero((d <= kth[:, None]) & (d < 1 << 40))
             out.append(pd.DataFrame({"id": ia[at + i], "other": ib[j], "note": note[j], "d": d[i, j]}))
         return pd.concat(out, ignore_index=True)
 
-    found = _block_pairs(vectors, ident, vector, carry).groupBy("x", "y").applyInPandas(run, "id bigint, other bigint, note bigint, d bigint")
+    found = _block_pairs(vectors, ident, vector, carry, False).groupBy("x", "y").applyInPandas(run, "id bigint, other bigint, note bigint, d bigint")
     place = F.row_number().over(Window.partitionBy("id").orderBy("d", "other"))
     return found.withColumn("place", place).where(F.col("place") <= k).select(F.col("id").alias(ident), "other", F.col("note").alias(carry), "d", "place")
 
@@ -55,20 +64,29 @@ def distance_histogram(vectors: DataFrame, ident: str, vector: str, label: str)
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         a, b = f[f["side"] == 0], f[f["side"] == 1]
-        counts: dict[bool, list] = {True: [], False: []}
+        counts, odd = np.zeros(2 * (TOP + 1), dtype=np.int64), []
         if not (a.empty or b.empty):
             unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
             va, vb = (unit(np.stack(x[vector].to_numpy()).astype(np.float64)) for x in (a, b))
             ia, ib, la, lb = a[ident].to_numpy(), b[ident].to_numpy(), a[label].to_numpy(), b[label].to_numpy()
-            for at in range(0, len(ia), 256):
-                s = slice(at, at + 256)
+            own, step = f["x"].iloc[0] == f["y"].iloc[0], max(1, CELLS // len(ib))
+            for at in range(0, len(ia), step):
+                s = slice(at, at + step)
                 d = np.floor((1 - va[s] @ vb.T) * 1e6 + 0.5).astype(np.int64)
-                once = ia[s, None] < ib[None, :]
                 same = la[s, None] == lb[None, :]
-                for kind in counts:
-                    counts[kind].append(np.unique(d[once & (same == kind)], return_counts=True))
-        rows = [pd.DataFrame({"same": kind, "d": d, "n": n}) for kind, parts in counts.items() for d, n in parts]
-        return pd.concat(rows, ignore_index=True) if rows else pd.DataFrame({"same": pd.Series(dtype=bool), "d": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64")})
+                if own:  # equal ids are in one block
+                    first = ia[s, None] < ib[None, :]
+                    d, same = d[first], same[first]
+                far = (d < 0) | (d > TOP)
+                if far.any():
+                    odd += zip(same[far].tolist(), d[far].tolist(), strict=True)
+                    d, same = d[~far], same[~far]
+                d += same * (TOP + 1)
+                counts += np.bincount(d.ravel(), minlength=len(counts))
+        at = np.flatnonzero(counts)
+        rows = pd.DataFrame({"same": at > TOP, "d": at % (TOP + 1), "n": counts[at]})
+        more = pd.DataFrame(odd, columns=["same", "d"]).assign(n=1).astype(rows.dtypes.to_dict())
+        return pd.concat([rows, more], ignore_index=True) if odd else rows
 
-    pairs = _block_pairs(vectors, ident, vector, label).groupBy("x", "y").applyInPandas(run, "same boolean, d bigint, n bigint")
+    pairs = _block_pairs(vectors, ident, vector, label, True).groupBy("x", "y").applyInPandas(run, "same boolean, d bigint, n bigint")
     return pairs.groupBy("same", "d").agg(F.sum("n").alias("n"))
