@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tessera.operators import greedy, pair_blocks
+from tessera.operators import greedy, neighbours, pair_blocks
 from tessera.operators.greedy import assignment, per_group, per_groups, suppress
 from tessera.plans import catalogue
 
@@ -121,3 +121,24 @@ def test_small_assignments_take_the_same_steps(monkeypatch):
     small = [assignment(c) for c in costs]
     monkeypatch.setattr(greedy, "SMALL", 0)
     assert small == [assignment(c) for c in costs]
+
+
+def test_vectors_are_copied_to_few_blocks_and_pairs_counted_once(spark):
+    many = spark.range(20_000).selectExpr("id", "array(1.0) AS v", "0 AS label")
+    assert neighbours._block_pairs(many, "id", "v", "label", False).count() == 2 * 8 * 20_000
+    assert neighbours._block_pairs(many, "id", "v", "label", True).count() == 9 * 20_000
+
+
+def test_distances_are_binned_as_a_full_count_gives_them(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SMALL", 30)
+    monkeypatch.setattr(neighbours, "CELLS", 100)
+    rng = np.random.default_rng(4)
+    vectors = [(k, int(rng.integers(3)), rng.normal(size=5).round(2).tolist()) for k in range(100)] + [(100, 1, [0.0] * 5), (101, 1, [-1.0] + [0.0] * 4), (102, 2, [1.0] + [0.0] * 4)]
+    got = {(r["same"], r["d"]): r["n"] for r in neighbours.distance_histogram(spark.createDataFrame(vectors, "id bigint, label int, v array<double>"), "id", "v", "label").collect()}
+    unit = np.array([v for _, _, v in vectors])
+    unit = unit / np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
+    want = {}
+    for i, j in itertools.combinations(range(len(vectors)), 2):
+        key = (vectors[i][1] == vectors[j][1], int(np.floor((1 - unit[i] @ unit[j]) * 1e6 + 0.5)))
+        want[key] = want.get(key, 0) + 1
+    assert got == want and (False, 2_000_000) in got
