@@ -1,19 +1,21 @@
 """SimHash near-duplicates found with pivot distance tables.
 
 Fingerprints are 64-bit SimHashes of 3-word shingles. ``REFERENCES`` of the data's own fingerprints serve as pivots. Every
-fingerprint's Hamming distances to all of them are precomputed, over the whole width and restricted to one of five bit
+fingerprint's Hamming distances to all of them are precomputed, over the whole width and restricted to one of six bit
 blocks. By the triangle inequality no coordinate of two fingerprints at distance d differs by more than d. Three differing
-bits touch at most three blocks, so in at least two of the five blocks all restricted distances of a pair are equal: the
-pair meets in one of ten tables keyed by the restricted distances of two blocks. (Distances over the whole width all lie
-near 32: as keys they would leave most pairs together.) Pairs that meet are discarded when the largest difference of their
+bits touch at most three blocks, so in at least three of the six blocks all restricted distances of a pair are equal: the
+pair meets in one of twenty tables keyed by the restricted distances of three blocks. (Distances over the whole width all
+lie near 32: as keys they would leave most pairs together. Those of two of five blocks left 256,000 cells of a table's
+fingerprints: strangers met in most of them.) Pairs that meet are discarded when the largest difference of their
 whole-width coordinates exceeds 3, and the survivors are verified bit by bit.
 
 A table cell is never expanded into all its pairs: every member is compared with the cell's leader, then only members
 still in different groups are compared, in pairs of chunks of about ``CHUNK``; a spanning forest of the links leaves a task.
 
-The pipeline stage has another threshold: Jaccard similarity 0.8 of the sets of 5-word shingles. At that similarity two
-64-bit SimHashes differ in about 10 bits and in up to 20, where no bit blocks are left to meet by. The stage therefore
-finds its candidates by bands of shingle minima and verifies every one by the exact similarity of the shingle sets.
+The pipeline stage has another threshold: Jaccard similarity 0.8 of the sets of 5-word shingles. It takes the SimHashes of
+those sets and links them by the same pivot tables first. At the threshold two 64-bit SimHashes differ in about 10 bits and
+in up to 20, where no bit blocks are left to meet by: what the fingerprints can't reach meets in bands of shingle minima.
+Every candidate of either kind is verified by the exact similarity of the shingle sets.
 """
 
 from __future__ import annotations
@@ -33,8 +35,10 @@ from ..operators.graph import components
 from ..operators.skew import heavy_keys, skewed_join
 
 BITS = 64
-BLOCKS = (13, 13, 13, 13, 12)
+BLOCKS = (11, 11, 11, 11, 10, 10)
 MAX_DISTANCE = 3
+#: Blocks that a pair within MAX_DISTANCE agrees in at least.
+AGREE = len(BLOCKS) - MAX_DISTANCE
 #: Fingerprints that serve as pivots, drawn by hash from the data; each block uses its own BLOCK_PIVOTS of them.
 REFERENCES = 32
 BLOCK_PIVOTS = 5
@@ -47,6 +51,7 @@ BANDS, BAND_ROWS = 27, 4
 #: Sets whose texts must be fetched, up to which their keys are broadcast (about 100 bytes each); beyond, the texts shuffle.
 BROADCAST_ROWS = 300_000
 _SLICE = 65536
+_RADIX = np.uint64(max(BLOCKS) + 1)
 
 
 def fingerprint(text: str | None, shingle_words: int = 3) -> int:
@@ -100,12 +105,12 @@ def references(distinct_fp: DataFrame) -> np.ndarray:
 
 
 def block_coordinates(fp: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """For uint64 fingerprints a word for each block: its BLOCK_PIVOTS restricted distances, four bits each."""
+    """For uint64 fingerprints a number for each block: its BLOCK_PIVOTS restricted distances as digits."""
     coords = np.zeros((len(fp), len(BLOCKS)), dtype=np.uint64)
     for k, mask in enumerate(_masks()):
         for j in range(BLOCK_PIVOTS):
             d = np.bitwise_count((fp ^ pivots[k * BLOCK_PIVOTS + j]) & np.uint64(mask)).astype(np.uint64)
-            coords[:, k] |= d << np.uint64(4 * j)
+            coords[:, k] = coords[:, k] * _RADIX + d
     return coords
 
 
@@ -115,15 +120,17 @@ def wide_coordinates(fp: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def _cells(pivots: np.ndarray):
-    """One row for each fingerprint and table: ``cell`` is the table's number and the coordinates of its two blocks."""
-    width = np.uint64(4 * BLOCK_PIVOTS)
+    """One row for each fingerprint and table: ``cell`` is the table's number and the coordinates of its AGREE blocks."""
+    width = _RADIX ** np.uint64(BLOCK_PIVOTS)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             fp = f["fp"].to_numpy(np.int64).view(np.uint64)
             coords = block_coordinates(fp, pivots)
-            for t, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2)):
-                cell = (np.uint64(t) << (width + width)) | (coords[:, i] << width) | coords[:, j]
+            for t, blocks in enumerate(combinations(range(len(BLOCKS)), AGREE)):
+                cell = np.full(len(fp), t, dtype=np.uint64)
+                for k in blocks:
+                    cell = cell * width + coords[:, k]
                 yield pd.DataFrame({"cell": cell.view(np.int64), "fp": fp.view(np.int64)})
 
     return run
@@ -245,6 +252,14 @@ def shingles(text: str | None, width: int = STAGE_WORDS) -> np.ndarray:
     return np.unique(np.fromiter((digest(norm[i:j], 42) for i, j in zip(s, e, strict=True)), dtype=np.uint64, count=n))
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a shingle set as a signed number, 0 if it is empty."""
+    counts = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(hashes), _SLICE):
+        counts += np.unpackbits(hashes[at : at + _SLICE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def _bands(hashes: np.ndarray) -> np.ndarray:
     """For sorted shingle hashes, BANDS keys of BAND_ROWS minima each."""
     mul = np.random.default_rng(13).integers(0, 2**63, size=BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -259,16 +274,17 @@ def _bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, set, n, bands): a 128-bit hash of each text's shingle set, its size and band keys; no bands without words."""
+    """(doc_id, row, set, n, fp, bands): a 128-bit hash of each text's shingle set, its size, SimHash and band keys; no bands without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
             sets = [shingles(t) for t in b.column("text").to_pylist()]
             ids = [xxhash.xxh3_128_hexdigest(x.tobytes(), 42) for x in sets]
             bands = pa.array([_bands(x) if len(x) else [] for x in sets], type=pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(ids), pa.array([len(x) for x in sets], type=pa.int64()), bands], names=["doc_id", "row", "set", "n", "bands"])
+            fps = pa.array([set_fingerprint(x) for x in sets], type=pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(ids), pa.array([len(x) for x in sets], type=pa.int64()), fps, bands], names=["doc_id", "row", "set", "n", "fp", "bands"])
 
-    return docs.select("doc_id", "row", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row string, set string, n bigint, bands array<bigint>")
+    return docs.select("doc_id", "row", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row string, set string, n bigint, fp bigint, bands array<bigint>")
 
 
 def _shingle_arrays(texts: DataFrame) -> DataFrame:
@@ -294,23 +310,40 @@ def _verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     return both.where(F.col("k") >= F.lit(STAGE_SIMILARITY) * (F.size("sa") + F.size("sb") - F.col("k")) - 1e-9).select("a", "b")
 
 
+def fingerprint_pairs(sets: DataFrame) -> DataFrame:
+    """(a, b): every set of ``sets`` (set, n, n_copies, fp) with the most frequent one of those that its SimHash is linked to by 3 bits."""
+    fps = cut(sets.where("n > 0").select("fp").distinct(), "near-fps")
+    linked = cut(fps.join(near_roots(fps).withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("group")), "near-fp-roots")
+    grouped = cut(skewed_join(sets.where("n > 0").select("set", "n", "n_copies", "fp"), linked, "fp", heavy_keys(sets, "fp")), "near-fp-sets")
+    lead = grouped.groupBy("group").agg(F.max(F.struct("n_copies", "set", "n")).alias("lead"), F.count("*").alias("size")).where("size > 1")
+    lead = cut(lead.select("group", F.col("lead.set").alias("lead"), F.col("lead.n").alias("lead_n")), "near-fp-leads")
+    met = skewed_join(grouped.select("group", "set", "n"), lead, "group", heavy_keys(grouped, "group"))
+    return met.where((F.col("set") != F.col("lead")) & _alike("n", "lead_n")).select(F.least("set", "lead").alias("a"), F.greatest("set", "lead").alias("b"))
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, row, root) for every row of ``docs`` (doc_id, row, text); near copies, also by way of others, share a root.
 
-    As in a line's groups, every member of a cell is first compared with the cell's leader; then only members still in
-    different groups are compared with each other, in pairs of chunks. Texts without words are copies of each other.
+    Sets linked by their SimHashes are compared with one of them. Those that share a band's cell are compared with the cell's
+    leader: the member that meets most others in all its cells, so that a text's variants, which are less like each other than
+    like it, are joined by way of it. Then only members still in different groups are compared with each other, in pairs of
+    chunks. Texts without words are copies of each other.
     """
     sets = cut(shingle_sets(docs), "near-sets")
-    numbered = sets.groupBy("set").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("n_copies"))
+    numbered = sets.groupBy("set").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.count("*").alias("n_copies"))
     numbered = cut(numbered.withColumnRenamed("set", "key").withColumn("set", F.monotonically_increasing_id()), "near-distinct")
     distinct = numbered.drop("key")
     cells = distinct.select(F.explode("bands").alias("cell"), "set", "n", "n_copies")
     heavy = heavy_keys(cells, "cell")
-    full = cells.groupBy("cell").agg(F.count("*").alias("size"), F.max(F.struct("n_copies", "set", "n")).alias("lead")).where("size > 1")
-    met = cut(skewed_join(cells, full.select("cell", "size", F.col("lead.set").alias("lead"), F.col("lead.n").alias("lead_n")), "cell", heavy), "near-met")
+    full = cells.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1")
+    met = cut(skewed_join(cells, full, "cell", heavy), "near-met")
+    busy = met.groupBy("set").agg(F.sum("size").alias("others"))
+    lead = met.join(busy, "set").groupBy("cell").agg(F.max(F.struct("others", "n_copies", "set", "n")).alias("lead"))
+    met = skewed_join(met, cut(lead.select("cell", F.col("lead.set").alias("lead"), F.col("lead.n").alias("lead_n")), "near-lead"), "cell", heavy)
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    star = cut(met.where((F.col("set") != F.col("lead")) & _alike("n", "lead_n")).select(*pair("set", "lead")).distinct(), "near-star")
-    needed = cut(distinct.join(met.select("set").distinct(), "set").select("set", "row"), "near-needed")
+    by_bits = cut(fingerprint_pairs(distinct), "near-by-bits")
+    star = cut(by_bits.union(met.where((F.col("set") != F.col("lead")) & _alike("n", "lead_n")).select(*pair("set", "lead"))).distinct(), "near-star")
+    needed = cut(distinct.join(met.select("set").union(by_bits.select("a")).union(by_bits.select("b")).distinct(), "set").select("set", "row"), "near-needed")
     if needed.count() <= BROADCAST_ROWS:
         needed = F.broadcast(needed)
     arrays = cut(_shingle_arrays(docs.select("row", "text").join(needed, "row").dropDuplicates(["set"])), "near-arrays")
@@ -321,7 +354,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     crowd = cut(skewed_join(rooted, cut(mixed, "near-mixed"), "cell", heavy).withColumn("own", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int")), "near-crowd")
     left = crowd.select("cell", F.col("own").alias("x"), F.explode(F.sequence(F.col("own"), F.col("parts") - 1)).alias("y"), "set", "n", "root")
     right = crowd.select("cell", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("x"), F.col("own").alias("y"), F.col("set").alias("set2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-    cross = left.join(right, ["cell", "x", "y"]).where((F.col("root") != F.col("root2")) & _alike("n", "n2")).select(*pair("set", "set2")).distinct()
+    apart = (F.col("root") < F.col("root2")) | ((F.col("x") < F.col("y")) & (F.col("root") > F.col("root2")))  # inside a chunk both orders stand
+    cross = left.join(right, ["cell", "x", "y"]).where(apart & _alike("n", "n2")).select(*pair("set", "set2")).distinct()
     more = cut(_verified(cross, arrays), "near-more")
     roots = joined if more.isEmpty() else components(links.union(more))
     known = numbered.select("key", "set").join(roots.select(F.col("node").alias("set"), "root"), "set", "left").select(F.col("key").alias("set"), F.coalesce("root", "set").alias("root"))

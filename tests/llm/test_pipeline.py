@@ -1,7 +1,9 @@
 """The pipeline end to end, and each stage on its own input."""
 
+import numpy as np
+
 import corpus_pipeline
-from tessera.llm import queries
+from tessera.llm import queries, simhash_dedup
 
 
 def test_stages_filter_whole_documents(spark):
@@ -21,3 +23,32 @@ def test_stages_filter_whole_documents(spark):
 
 def test_every_operator_is_registered():
     assert {int(q[2:].split("_")[0]) for q in queries.QUERIES} == set(range(1, 14))
+
+
+def test_near_dedup_links_sets_by_their_fingerprints(spark):
+    rng = np.random.default_rng(12)
+    base = [[f"w{rng.integers(9000)}" for _ in range(400)] for _ in range(6)]
+    texts = [" ".join(w) for w in base] + [" ".join([*w[:-1], "end"]) for w in base]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").selectExpr("doc_id", "CAST(doc_id AS string) AS row", "text")
+    sets = simhash_dedup.shingle_sets(docs).selectExpr("doc_id AS set", "n", "fp", "1 AS n_copies")
+    fps = {r["set"]: r["fp"] % 2**64 for r in sets.collect()}
+    assert all(fps[k] == sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in x) > len(x)) for k, x in enumerate(map(simhash_dedup.shingles, texts)))
+    near = {(k, k + 6) for k in range(6) if (fps[k] ^ fps[k + 6]).bit_count() <= 3}
+    assert near and {(r["a"], r["b"]) for r in simhash_dedup.fingerprint_pairs(sets).collect()} == near
+
+
+def test_variants_of_a_text_are_joined_by_way_of_it(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    base = [f"w{rng.integers(9000)}" for _ in range(300)]
+    variants = []
+    for k in range(40):
+        copy = list(base)
+        for at in rng.choice(300, 6, replace=False):
+            copy[at] = f"v{k}-{at}"
+        variants.append(copy)
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate([base, *variants])], "doc_id bigint, text string").selectExpr("doc_id", "CAST(doc_id AS string) AS row", "text")
+    made = {}
+    plain = simhash_dedup.cut
+    monkeypatch.setattr(simhash_dedup, "cut", lambda df, tag, *more: made.setdefault(tag, plain(df, tag, *more)))
+    assert simhash_dedup.near_copies(docs).select("root").distinct().count() == 1
+    assert made["near-crowd"].count() < 41  # no cell's members are left to be compared with each other
