@@ -6,15 +6,15 @@ did to it by hand. The fold tells of every operation whether it counted, and the
 
 from __future__ import annotations
 
-import copy
 import re
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .greedy import per_group
+from .greedy import per_groups
 
 QUALITIES = ("unreviewed", "good", "bad", "partial")
 DECISIONS = ("same", "different", "unsure")
@@ -34,6 +34,10 @@ class State:
     quality: dict[int, str] = field(default_factory=dict)
     relations: dict[tuple[int, int], str] = field(default_factory=dict)
 
+    def copy(self) -> State:
+        """A state of its own. Detections of a piece are replaced, never changed, so both may hold the same list."""
+        return State(dict(self.pieces), dict(self.labels), dict(self.quality), dict(self.relations))
+
     def new_label(self) -> str:
         numbers = [int(m[1]) for v in self.labels.values() if (m := re.fullmatch(r"P(\d+)", v))]
         return f"P{max(numbers, default=0) + 1}"
@@ -103,7 +107,7 @@ class Log:
                 raise Refused("nothing to undo")
             self.state, self.previous = self.previous, None
         else:
-            tried = copy.deepcopy(self.state)
+            tried = self.state.copy()
             if action == "label":
                 tried.label(pieces, value)
             elif action == "quality":
@@ -133,14 +137,14 @@ def fold_reviews(pieces: DataFrame, operations: DataFrame) -> DataFrame:
         "doc", F.lit(1).alias("part"), F.col("seq").cast("bigint").alias("seq"), F.col("at").cast("double").alias("at"), "action", F.col("pieces").cast("array<bigint>").alias("pieces"), "value", "other", F.col("expected").cast("double").alias("expected")
     )
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
+    none = lambda v: None if v is None or (isinstance(v, float) and pd.isna(v)) else v
+
+    def fold(own: list[tuple], asked: list[tuple]) -> list[tuple]:
         held: dict[int, list] = {}
-        own, asked = f[f["part"] == 0], f[f["part"] == 1]
-        for p, t, d in zip(own["seq"], own["at"], own["det"], strict=True):
+        for p, t, d in own:
             held.setdefault(int(p), []).append((float(t), int(d)))
         log, out = Log({p: sorted(v) for p, v in held.items()}), []
-        none = lambda v: None if v is None or (isinstance(v, float) and pd.isna(v)) else v
-        for seq, at, action, ids, value, other, expected in zip(*[asked[c] for c in ("seq", "at", "action", "pieces", "value", "other", "expected")], strict=True):
+        for seq, at, action, ids, value, other, expected in asked:
             try:
                 log.apply(action, [int(i) for i in ids] if none(ids) is not None else [], none(value), none(other), none(at), None if pd.isna(expected) else int(expected))
                 out.append(("op", seq, True, log.revision, None, None, None, None, None, None, None, None))
@@ -148,12 +152,20 @@ def fold_reviews(pieces: DataFrame, operations: DataFrame) -> DataFrame:
                 out.append(("op", seq, False, log.revision, str(e), None, None, None, None, None, None, None))
         s = log.state
         out += [("piece", None, None, log.revision, None, p, None, s.labels.get(p), s.quality.get(p, "unreviewed"), d[0][0], d[-1][0], [x for _, x in d]) for p, d in sorted(s.pieces.items())]
-        out += [("relation", None, None, log.revision, None, a, b, v, None, None, None, None) for (a, b), v in sorted(s.relations.items())]
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
+        return out + [("relation", None, None, log.revision, None, a, b, v, None, None, None, None) for (a, b), v in sorted(s.relations.items())]
+
+    def run(f: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
+        doc, part = f["doc"].tolist(), f["part"].tolist()
+        own = list(zip(f["seq"].tolist(), f["at"].tolist(), f["det"].tolist(), strict=True))
+        asked = list(zip(*[f[c].tolist() for c in ("seq", "at", "action", "pieces", "value", "other", "expected")], strict=True))
+        out, at = [], np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(f)).tolist()
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            k = a + sum(1 for x in part[a:b] if x == 0)  # pieces come first
+            out += [(doc[a], *row) for row in fold(own[a:k], asked[k:b])]
+        frame = pd.DataFrame(out, columns=["doc", *[c.split()[0] for c in OUT.split(", ")]])
         for c in ("seq", "piece", "other", "revision"):
             frame[c] = frame[c].astype("Int64")
         frame["accepted"] = frame["accepted"].astype("boolean")
-        frame.insert(0, "doc", f["doc"].iloc[0])
         return frame
 
-    return per_group(rows.unionByName(ops, allowMissingColumns=True).where("doc is not null"), ["doc"], ["part", "seq", "at"], run, f"doc {kind}, {OUT}")
+    return per_groups(rows.unionByName(ops, allowMissingColumns=True).where("doc is not null"), ["doc"], ["part", "seq", "at"], run, f"doc {kind}, {OUT}")

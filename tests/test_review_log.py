@@ -1,5 +1,7 @@
 """Operation logs and film edits: what a person does, step by step, and random logs against a plain fold."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -55,6 +57,19 @@ def test_random_logs_are_whole_and_repeatable(spark):
     assert _folded(spark, pieces[::-1], shuffled)[:2] == (done, state)
 
 
+def test_operations_on_a_large_document_cost_what_they_change():
+    """A copy of all detections for every operation took over a minute here."""
+    log, began = review_log.Log({p: [(float(k), 5000 * p + k) for k in range(5000)] for p in range(20)}), time.process_time()
+    before = log.state
+    for k in range(600):
+        log.apply("label", [k % 20], f"P{k}", None, None, None)
+    log.apply("split", [3], None, None, 100.0, None)
+    assert time.process_time() - began < 5 and log.revision == 601
+    assert len(before.pieces[3]) == 5000 and not before.labels and len(log.state.pieces[20]) == 4900
+    log.apply("undo", [], None, None, None, None)
+    assert len(log.state.pieces[3]) == 5000 and log.state.labels[3] == "P583" and 20 not in log.state.pieces
+
+
 @pytest.fixture
 def shop(spark):
     """Two people over two windows: A goes on in the second one, B and C have one track each."""
