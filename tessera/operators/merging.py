@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .greedy import per_group
+from .greedy import per_group, per_groups
 from .scratch import cut
 
 #: Parts that the pairs of a busy endpoint or component are dealt to when their first ones are found.
@@ -27,14 +28,38 @@ def _total(order: list[str]) -> Column:
     return F.struct(*order, "a", "b")
 
 
-def capped_pairs(pairs: DataFrame, order: list[str], capacity: int) -> DataFrame:
+def split_keys(pairs: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``pairs`` of keys with BOUND of them at most, which a task may take whole, and the rest."""
+    large = cut(pairs.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > BOUND).select(*[F.col(k).alias(f"_{k}") for k in keys]), "keys-large")
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return pairs.join(F.broadcast(large), same, "left_anti"), pairs.join(F.broadcast(large), same, "left_semi")
+
+
+def capped_pairs(pairs: DataFrame, order: list[str], capacity: int, keys: list[str] | None = None) -> DataFrame:
     """The pairs (a, b, ``order``) that are taken if each, smallest ``order`` first (ties by a, b), is taken while both ends have fewer than ``capacity``.
 
     A round takes every open pair that stands among the first open ones of both its ends, as many as those have room for: no
     pair before it can use that room up. Pairs with a full end go. A busy end's first pairs are found in parts. In the worst
     order (a path of rising pairs) a round takes one pair of a path, so a small rest is finished in one task. Pairs of a node
     with itself and pairs with nulls are ignored, repeated ones count once.
+
+    If ``keys`` of the pairs are given, pairs of different keys share no node and a pair isn't repeated; then tasks take the
+    pairs of whole keys in order, but for keys with more than BOUND, which take rounds.
     """
+    if keys:
+        few, many = split_keys(cut(pairs.where("a <> b").select(*keys, "a", "b", *order), "capped-pairs"), keys)
+
+        def whole(f: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
+            ends, kept = {}, []
+            for a, b in zip(f["a"].tolist(), f["b"].tolist(), strict=True):
+                na, nb = ends.get(a, 0), ends.get(b, 0)
+                kept.append(na < capacity and nb < capacity)
+                if kept[-1]:
+                    ends[a], ends[b] = na + 1, nb + 1
+            return f.loc[kept, ["a", "b", *order]]
+
+        taken = per_groups(few, keys, [*order, "a", "b"], whole, ", ".join(f"{c} {few.schema[c].dataType.simpleString()}" for c in ["a", "b", *order]))
+        return taken if many.isEmpty() else taken.unionByName(capped_pairs(many, order, capacity))
     live = pairs.select("a", "b", *order).where("a <> b").dropDuplicates(["a", "b"]).select("*", F.lit(capacity).alias("ra"), F.lit(capacity).alias("rb"))
     live, taken, k = cut(live, "capped-open"), [], 0
     while (left := live.count()) and (k < ROUNDS or left > TAIL):
@@ -75,8 +100,10 @@ def veto_tags(labels: DataFrame, different: DataFrame) -> DataFrame:
     return own.where("tag is not null and value is not null").unionByName(ends.select("node", "tag", F.col("node").cast("string").alias("value"))).distinct()
 
 
-def _decide(f: pd.DataFrame) -> pd.DataFrame:
-    """One component in order: its nodes' tags first, then its pairs. Returns the fate of each pair and the root of each node."""
+def _decide(f: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
+    """Components in order, one after the other: a component's tags first, then its pairs. Returns the fate of each pair and the root of each node.
+
+    Components share no node, so they needn't be told apart."""
     parent: dict = {}
     tags: dict = {}
     out = []
@@ -164,7 +191,7 @@ def merge_with_vetoes(pairs: DataFrame, tags: DataFrame, order: list[str], bound
         none = F.lit(None).cast("string")
         rows = now.select("comp", F.lit(1).alias("kind"), *order, "a0", "b0", "a", "b", none.alias("tag"), none.alias("value"))
         heads = own.join(torn, ["comp", "tag"]).select("comp", F.lit(0).alias("kind"), "a", "tag", "value")
-        done = per_group(heads.unionByName(rows, allowMissingColumns=True), ["comp"], ["kind", *order, "a0", "b0"], _decide, f"a {kinds['a']}, b {kinds['a']}, fate string")
+        done = per_groups(heads.unionByName(rows, allowMissingColumns=True), ["comp"], ["kind", *order, "a0", "b0"], _decide, f"a {kinds['a']}, b {kinds['a']}, fate string")
         done = cut(done, "veto-done")
         fates.append(done.where("fate <> 'root'"))
         forest = spanning_forest(whole.select("a", "b", *order, "a0", "b0"), order).withColumn("fate", F.lit("merged"))

@@ -8,7 +8,7 @@ shop's event before it, pinned to the number of events both had an hour after it
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import grids, merging
@@ -30,48 +30,39 @@ def _key(us: str, grid: str) -> str:
     return f"CAST({_clip(us, grid)} * 10000000 + user_id AS BIGINT)"
 
 
+def _day(clip: str, grid: str) -> str:
+    return f"CAST(floor((({clip} - {grid}) / 2 * {CLIP} - {grid} * {CLIP // 2}) / {DAY}) AS BIGINT)"
+
+
 def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(node, shop, day, clip, user_id, first, last, n, cents); a fragment belongs to the day its clip begins on."""
     at = F.expr(f"CAST({_clip('us', 'grid')} AS BIGINT)")
     log = events(spark, sf_dir).select("event_id", "user_id", "us", F.expr("CAST(round(value * 100) AS BIGINT)").alias("cents"), F.explode(F.array(F.lit(0), F.lit(1))).alias("grid"))
     out = log.groupBy(F.expr(_key("us", "grid")).alias("node"), at.alias("clip"), "grid", "user_id").agg(F.min("us").alias("first"), F.max("us").alias("last"), F.count("*").alias("n"), F.sum("cents").alias("cents"))
-    day = F.expr(f"CAST(floor(((clip - grid) / 2 * {CLIP} - grid * {CLIP // 2}) / {DAY}) AS BIGINT)")
-    return out.select("node", F.expr(f"user_id div {SHOP}").alias("shop"), day.alias("day"), "clip", "user_id", "first", "last", "n", "cents")
+    return out.select("node", F.expr(f"user_id div {SHOP}").alias("shop"), F.expr(_day("clip", "grid")).alias("day"), "clip", "user_id", "first", "last", "n", "cents")
 
 
-def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(a, b, decision, us, eid, valid): the last answer of every pair; valid while both fragments are as they were."""
+def answers(spark: SparkSession, sf_dir: str, nodes: DataFrame) -> DataFrame:
+    """(a, b, decision, us, eid, valid): the last answer of every pair of a day's fragments; valid while both are as they were."""
     log = events(spark, sf_dir).withColumn("shop", F.expr(f"user_id div {SHOP}")).withColumn("clip", F.expr(f"CAST({_clip('us', '0')} AS BIGINT)")).withColumn("node", F.expr(_key("us", "0")))
     w = Window.partitionBy("shop", "clip").orderBy("us", "event_id")
     asked = log.withColumn("other", F.lag("node").over(w)).where("event_type = 'signup' and other <> node")
     last = F.row_number().over(Window.partitionBy("a", "b").orderBy(F.desc("us"), F.desc("event_id")))
     asked = asked.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), "us", "event_id", F.expr("element_at(array('same', 'different', 'unsure'), CAST(round(value * 100) AS INT) % 3 + 1)").alias("decision"))
     asked = asked.withColumn("_k", last).where("_k = 1")
-    ends = asked.select("a", "b", "us", F.explode(F.array("a", "b")).alias("node"))
-    later = ends.join(log.select("node", F.col("us").alias("seen")), "node").where(f"seen > us + {HOUR}").select("a", "b").distinct().withColumn("stale", F.lit(True))
-    return asked.join(later, ["a", "b"], "left").select("a", "b", "decision", "us", F.col("event_id").alias("eid"), F.col("stale").isNull().alias("valid"))
-
-
-def _pair(near: DataFrame, *more: Column) -> DataFrame:
-    return near.select("shop", "day", F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"), *more)
+    for side in ("a", "b"):
+        asked = asked.join(nodes.select(F.col("node").alias(side), F.col("day").alias(f"day_{side}"), F.col("last").alias(f"last_{side}")), side)
+    return asked.where("day_a = day_b").select("a", "b", "decision", "us", F.col("event_id").alias("eid"), F.expr(f"greatest(last_a, last_b) <= us + {HOUR}").alias("valid"))
 
 
 def day_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Fragments; their groups (node, root); the fates of links (a, b, stage, fate); candidate pairs (shop, day, a, b, distance, gap)."""
+    """Fragments; their groups (node, root); the fates of links (a, b, stage, fate); valid answers (a, b, decision, us, eid)."""
     nodes = cut(fragments(spark, sf_dir), "day-nodes")
-    said = cut(answers(spark, sf_dir).join(nodes.select(F.col("node").alias("a"), F.col("shop").alias("sa"), F.col("day").alias("da")), "a").join(nodes.select(F.col("node").alias("b"), F.col("day").alias("db")), "b").where("da = db").drop("db"), "day-answers")
-    valid = said.where("valid")
-    span = nodes.withColumn("stop", F.col("last") + NEAR)
-    other = span.select("shop", "day", *[F.col(c).alias(f"{c}2") for c in ("node", "clip", "user_id", "first", "stop", "last", "n", "cents")])
-    near = bucketed_overlap_join(span, other, ["shop", "day"], ("first", "stop"), ("first2", "stop2"), HOUR).where("node < node2 and clip <> clip2")
-    gap = F.greatest(F.lit(0), F.greatest("first", "first2") - F.least("last", "last2"))
-    apart = F.expr("abs(cents * n2 - cents2 * n) * 1000 div (n * n2)")
-    near = near.select("shop", "day", F.col("node").alias("a"), F.col("node2").alias("b"), apart.alias("distance"), gap.alias("gap"))
-    near = cut(near.join(valid.select("a", "b"), ["a", "b"], "left_anti"), "day-near")
-    # An observation is in two fragments at most, one of each grid.
-    log = events(spark, sf_dir).select("user_id", F.expr(_key("us", "0")).alias("f0"), F.expr(_key("us", "1")).alias("f1"))
-    shared = log.groupBy(F.least("f0", "f1").alias("a"), F.greatest("f0", "f1").alias("b")).agg(F.count("*").alias("frames")).where("frames >= 2")
-    auto = near.join(shared, ["a", "b"]).select("a", "b", F.lit(1).alias("stage"), F.lit(0).cast("bigint").alias("us"), F.lit(0).cast("bigint").alias("eid"))
+    valid = cut(answers(spark, sf_dir, nodes).where("valid").drop("valid"), "day-answers")
+    # An observation is in two fragments at most, one of each grid. Fragments that share one are near each other, so only their days may keep them apart.
+    log = events(spark, sf_dir).select(*[F.expr(e).alias(n) for grid in "01" for e, n in ((_key("us", grid), f"f{grid}"), (_day(f"CAST({_clip('us', grid)} AS BIGINT)", grid), f"d{grid}"))]).where("d0 = d1")
+    shared = log.groupBy(F.least("f0", "f1").alias("a"), F.greatest("f0", "f1").alias("b")).agg(F.count("*").alias("frames")).where("frames >= 2 and a <> b")
+    auto = shared.join(valid, ["a", "b"], "left_anti").select("a", "b", F.lit(1).alias("stage"), F.lit(0).cast("bigint").alias("us"), F.lit(0).cast("bigint").alias("eid"))
     human = valid.where("decision = 'same'").select("a", "b", F.lit(0).alias("stage"), "us", "eid")
     links = cut(human.unionByName(auto), "day-links")
     labels = nodes.where("n >= 2").select("node", F.col("clip").alias("scope"), F.col("user_id").alias("label"))
@@ -79,7 +70,7 @@ def day_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     groups, fates = merging.merge_with_vetoes(links, tags, ORDER)
     fates = cut(fates.join(links.select("a", "b", "stage"), ["a", "b"]), "day-fates")
     groups = cut(nodes.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "day-groups")
-    return nodes, groups, fates, near
+    return nodes, groups, fates, valid
 
 
 def day_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,14 +85,21 @@ def day_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def day_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs to ask about: of different visits, closest first, at most three for each fragment."""
-    _, groups, fates, near = day_graph(spark, sf_dir)
-    joined = fates.where("stage = 1 and fate <> 'vetoed'").select("a", "b")
-    open_ = near.join(joined, ["a", "b"], "left_anti")
-    for side in ("a", "b"):
-        open_ = open_.join(groups.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side)
-    open_ = open_.where("root_a <> root_b").select("a", "b", "distance", "gap")
-    return merging.capped_pairs(open_, ["distance", "gap"], CAP)
+    """Pairs to ask about: of different visits, closest first, at most three for each fragment.
+
+    What decides on a pair is brought to the fragments before they are paired: their visits and, few each, whom answers name.
+    Links that weren't vetoed lie inside visits.
+    """
+    nodes, groups, _, valid = day_graph(spark, sf_dir)
+    told = valid.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("told"))
+    span = nodes.join(groups, "node").join(told, "node", "left").withColumn("stop", F.col("last") + NEAR)
+    other = span.select("shop", "day", *[F.col(c).alias(f"{c}2") for c in ("node", "clip", "first", "stop", "last", "n", "cents", "root")])
+    near = bucketed_overlap_join(span, other, ["shop", "day"], ("first", "stop"), ("first2", "stop2"), HOUR)
+    near = near.where("node < node2 and clip <> clip2 and root <> root2 and not coalesce(array_contains(told, node2), false)")
+    gap = F.greatest(F.lit(0), F.greatest("first", "first2") - F.least("last", "last2"))
+    apart = F.expr("abs(cents * n2 - cents2 * n) * 1000 div (n * n2)")
+    open_ = near.select("shop", "day", F.col("node").alias("a"), F.col("node2").alias("b"), apart.alias("distance"), gap.alias("gap"))
+    return merging.capped_pairs(open_, ["distance", "gap"], CAP, ["shop", "day"])
 
 
 PRICES, LIMITS, APART = [0, 20, 80], [400, 1_000, 2_500], 40 * MINUTE
