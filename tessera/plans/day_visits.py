@@ -116,9 +116,9 @@ def stitch_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     late = spans.withColumn("stop", F.col("end") + APART)
     other = spans.select("shop", "day", *[F.col(c).alias(f"{c}2") for c in ("node", "start", "end", "n", "cents")])
     near = bucketed_overlap_join(late, other, ["shop", "day"], ("start", "stop"), ("start2", "end2"), HOUR).where("node <> node2")
-    ahead = near.where("start2 > end").select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"), F.expr("abs(cents * n2 - cents2 * n) div (n * n2)").alias("look"), F.expr(f"(start2 - end) div {MINUTE}").alias("gap"))
-    both = near.where("node < node2 and start2 <= end and start <= end2").select(F.col("node").alias("a"), F.col("node2").alias("b"))
-    return grids.grid_scores(grids.merge_grid(ahead, both, PRICES, LIMITS), spans.select("node", F.col("user_id").alias("person"))).select("price", "limit", "people", "whole", "n_groups", "mixed")
+    ahead = near.where("start2 > end").select("shop", "day", F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"), F.expr("abs(cents * n2 - cents2 * n) div (n * n2)").alias("look"), F.expr(f"(start2 - end) div {MINUTE}").alias("gap"))
+    both = near.where("node < node2 and start2 <= end and start <= end2").select("shop", "day", F.col("node").alias("a"), F.col("node2").alias("b"))
+    return grids.grid_scores(grids.merge_grid(ahead, both, PRICES, LIMITS, ["shop", "day"]), spans.select("node", F.col("user_id").alias("person"))).select("price", "limit", "people", "whole", "n_groups", "mixed")
 
 
 _CLIP = lambda us, grid: f"(2 * floor(({us} + {grid} * {CLIP // 2}) / {CLIP}) + {grid})::BIGINT"

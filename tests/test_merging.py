@@ -37,6 +37,16 @@ def test_capped_pairs_equal_the_sequential_choice(spark, monkeypatch, kind, tail
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_capped_pairs_of_whole_keys_equal_those_of_all(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(k, 100 * k + a, 100 * k + b, w) for k, m in ((0, 60), (1, 90), (2, 250)) for a, b, w in _graph(rng, 40, m, "any")]
+    pairs = spark.createDataFrame(rows, "k int, a bigint, b bigint, w int")
+    want = sorted(map(tuple, merging.capped_pairs(pairs.drop("k"), ["w"], 3).collect()))
+    for bound in (200_000, 150):
+        monkeypatch.setattr(merging, "BOUND", bound)
+        assert sorted(map(tuple, merging.capped_pairs(pairs, ["w"], 3, ["k"]).collect())) == want
+
+
 def _merged(rows, labels, different):
     root, fate = {}, {}
     tags = defaultdict(set)
