@@ -22,6 +22,8 @@ from .scratch import cut
 BOX = ("x0", "y0", "x1", "y1")
 #: ``keep_first``: rounds of joins at least; after them a rest of at most TAIL conflicts ends in one task.
 ROUNDS, TAIL = 3, 20_000
+#: Pairs of masks laid out at a time.
+PAIRS = 2048
 
 
 def pack(mask: np.ndarray) -> bytes:
@@ -63,17 +65,35 @@ def box_iou() -> Column:
 def mask_overlap(pairs: DataFrame, keep: list[str]) -> DataFrame:
     """(``keep``, inter, area, arear): pixels in both masks and in each, for pairs of boxes with ``mask`` and ``maskr``. Null masks are empty."""
 
+    def bits(data: pa.Array, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All masks' bits in one row, ``n`` of each and up to a whole byte, and where each begins."""
+        size = -(-n // 8)
+        held = [(x or b"")[:k].ljust(k, b"\0") for x, k in zip(data.to_pylist(), size.tolist(), strict=True)]
+        return np.unpackbits(np.frombuffer(b"".join(held), dtype=np.uint8)), 8 * (np.cumsum(size) - size)
+
+    def sums(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+        end = np.cumsum(n)
+        return total[end] - total[end - n]
+
+    def stretch(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """``n`` numbers from each ``begin``."""
+        return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cols = [b.column(c).to_pylist() for c in (*BOX, *[f"{c}r" for c in BOX], "mask", "maskr")]
-            out = np.zeros((3, b.num_rows), dtype=np.int64)
-            for k, (ax, ay, bx, by, cx, cy, dx, dy, m, n) in enumerate(zip(*cols, strict=True)):
-                one = unpack(m, bx - ax, by - ay) if m else np.zeros((by - ay, bx - ax), dtype=np.uint8)
-                two = unpack(n, dx - cx, dy - cy) if n else np.zeros((dy - cy, dx - cx), dtype=np.uint8)
-                x, y, u, v = max(ax, cx), max(ay, cy), min(bx, dx), min(by, dy)
-                both = one[y - ay : v - ay, x - ax : u - ax] & two[y - cy : v - cy, x - cx : u - cx]
-                out[:, k] = both.sum(), one.sum(), two.sum()
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *map(pa.array, out)], names=[*keep, "inter", "area", "arear"])
+        whole = (b.slice(at, PAIRS) for b in batches for at in range(0, b.num_rows, PAIRS))
+        for b in whole:
+            ax, ay, bx, by, cx, cy, dx, dy = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (*BOX, *[f"{c}r" for c in BOX]))
+            x, y, w, h = np.maximum(ax, cx), np.maximum(ay, cy), np.minimum(bx, dx) - np.maximum(ax, cx), np.minimum(by, dy) - np.maximum(ay, cy)
+            row = stretch(np.zeros(len(h), np.int64), h)  # of the common part
+            seen, areas = [], []
+            for mask, left, top, right, bottom in (("mask", ax, ay, bx, by), ("maskr", cx, cy, dx, dy)):
+                n = (right - left) * (bottom - top)
+                flat, begin = bits(b.column(mask), n)
+                areas.append(sums(flat[stretch(begin, n)], n))
+                first = np.repeat(begin + (y - top) * (right - left) + x - left, h) + row * np.repeat(right - left, h)
+                seen.append(flat[stretch(first, np.repeat(w, h))])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *map(pa.array, [sums(seen[0] & seen[1], w * h), *areas])], names=[*keep, "inter", "area", "arear"])
 
     fields = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in keep)
     ints = [F.col(f"{c}{s}").cast("int").alias(f"{c}{s}") for s in ("", "r") for c in BOX]

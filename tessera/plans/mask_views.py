@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,22 +30,25 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_ellipses(df: DataFrame) -> DataFrame:
-    """``df`` with ``mask``: the ellipse in each box, in whole numbers."""
+    """``df`` with ``mask``: the ellipse in each box, in whole numbers. All of a size are one mask, drawn once a task."""
+
+    def ellipse(w: int, h: int) -> bytes:
+        x, y = (2 * np.arange(w) + 1 - w) * h, (2 * np.arange(h) + 1 - h) * w
+        return masks.pack(x[None] ** 2 + y[:, None] ** 2 <= (w * h) ** 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drawn = lru_cache(4096)(ellipse)
         for b in batches:
-            out = []
-            for x0, y0, x1, y1 in zip(*[b.column(c).to_pylist() for c in masks.BOX], strict=True):
-                w, h = x1 - x0, y1 - y0
-                x, y = (2 * np.arange(w) + 1 - w) * h, (2 * np.arange(h) + 1 - h) * w
-                out.append(masks.pack(x[None] ** 2 + y[:, None] ** 2 <= (w * h) ** 2))
+            x0, y0, x1, y1 = (b.column(c).to_pylist() for c in masks.BOX)
+            out = [drawn(v - t, w - u) for t, u, v, w in zip(x0, y0, x1, y1, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, type=pa.binary())], names=[*b.schema.names, "mask"])
 
     return df.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + ", mask binary")
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = cut(with_ellipses(detections(spark, sf_dir)), "masks")
+    # dealt to all tasks: the log's few files would leave the pairing, too, to a few
+    shown = cut(with_ellipses(detections(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "cam", "frame")), "masks")
     met = masks.overlapping(shown, masks.other(shown, ["cam", "frame"]), ["cam", "frame"], CELL).where("event_id < event_idr")
     return masks.mask_overlap(met, ["event_id", "event_idr"]).where("inter > 0").select(F.col("event_id").alias("a"), F.col("event_idr").alias("b"), "inter", F.expr("area + arear - inter").alias("joint"))
 
