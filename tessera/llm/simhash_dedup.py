@@ -48,6 +48,8 @@ STAGE_WORDS = 5
 STAGE_SIMILARITY = 0.8
 #: A pair at the threshold has no band in common with a probability of (1 - 0.8^4)^27 < 1e-6.
 BANDS, BAND_ROWS = 27, 4
+#: Bits of a set's parities: each says whether an odd number of the set's shingles fall into its part of the hashes.
+PARITIES = 1024
 #: Sets whose texts must be fetched, up to which their keys are broadcast (about 100 bytes each); beyond, the texts shuffle.
 BROADCAST_ROWS = 300_000
 _SLICE = 65536
@@ -273,8 +275,15 @@ def _bands(hashes: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """PARITIES bits of a set of shingle hashes in signed longs. A shingle that only one of two sets holds turns one bit: sets
+    whose bits differ in d places differ in d shingles or more."""
+    odd = np.bincount((hashes >> np.uint64(64 - PARITIES.bit_length() + 1)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, set, n, fp, bands): a 128-bit hash of each text's shingle set, its size, SimHash and band keys; no bands without words."""
+    """(doc_id, row, set, n, fp, odd, bands): a 128-bit hash of each text's shingle set, its size, SimHash, parities and band keys; no bands without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
@@ -282,9 +291,10 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
             ids = [xxhash.xxh3_128_hexdigest(x.tobytes(), 42) for x in sets]
             bands = pa.array([_bands(x) if len(x) else [] for x in sets], type=pa.list_(pa.int64()))
             fps = pa.array([set_fingerprint(x) for x in sets], type=pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(ids), pa.array([len(x) for x in sets], type=pa.int64()), fps, bands], names=["doc_id", "row", "set", "n", "fp", "bands"])
+            odd = pa.array([parities(x) for x in sets], type=pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(ids), pa.array([len(x) for x in sets], type=pa.int64()), fps, odd, bands], names=["doc_id", "row", "set", "n", "fp", "odd", "bands"])
 
-    return docs.select("doc_id", "row", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row string, set string, n bigint, fp bigint, bands array<bigint>")
+    return docs.select("doc_id", "row", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row string, set string, n bigint, fp bigint, odd array<bigint>, bands array<bigint>")
 
 
 def _shingle_arrays(texts: DataFrame) -> DataFrame:
@@ -303,6 +313,12 @@ def _alike(a: str, b: str) -> Column:
     return F.least(a, b) >= F.lit(STAGE_SIMILARITY) * F.greatest(a, b) - 1e-9
 
 
+def _may_be_alike(a: str, b: str, odd_a: str, odd_b: str) -> Column:
+    """Whether sizes and parities of two sets allow the similarity: sets at J differ in (1 - J) / (1 + J) of both sizes' sum."""
+    differ = " + ".join(f"bit_count(get({odd_a}, {k}) ^ get({odd_b}, {k}))" for k in range(PARITIES // 64))
+    return _alike(a, b) & (F.expr(differ) <= (F.col(a) + F.col(b)) * ((1 - STAGE_SIMILARITY) / (1 + STAGE_SIMILARITY)) + 1e-6)
+
+
 def _verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     """The pairs (a, b) of sets whose Jaccard similarity is high enough."""
     side = lambda c: arrays.select(F.col("set").alias(c), F.col("sh").alias(f"s{c}"))
@@ -330,7 +346,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     chunks. Texts without words are copies of each other.
     """
     sets = cut(shingle_sets(docs), "near-sets")
-    numbered = sets.groupBy("set").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.count("*").alias("n_copies"))
+    numbered = sets.groupBy("set").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("odd").alias("odd"), F.first("bands").alias("bands"), F.count("*").alias("n_copies"))
     numbered = cut(numbered.withColumnRenamed("set", "key").withColumn("set", F.monotonically_increasing_id()), "near-distinct")
     distinct = numbered.drop("key")
     cells = distinct.select(F.explode("bands").alias("cell"), "set", "n", "n_copies")
@@ -351,11 +367,12 @@ def near_copies(docs: DataFrame) -> DataFrame:
     joined = components(links)
     rooted = met.where("size > 2").select("cell", "set", "n").join(joined.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     mixed = rooted.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / CHUNK).cast("int").alias("parts")).where("low <> high").select("cell", "parts")
-    crowd = cut(skewed_join(rooted, cut(mixed, "near-mixed"), "cell", heavy).withColumn("own", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int")), "near-crowd")
-    left = crowd.select("cell", F.col("own").alias("x"), F.explode(F.sequence(F.col("own"), F.col("parts") - 1)).alias("y"), "set", "n", "root")
-    right = crowd.select("cell", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("x"), F.col("own").alias("y"), F.col("set").alias("set2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
+    crowd = skewed_join(rooted, cut(mixed, "near-mixed"), "cell", heavy).withColumn("own", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int"))
+    crowd = cut(crowd.join(distinct.select("set", "odd"), "set"), "near-crowd")
+    left = crowd.select("cell", F.col("own").alias("x"), F.explode(F.sequence(F.col("own"), F.col("parts") - 1)).alias("y"), "set", "n", "root", "odd")
+    right = crowd.select("cell", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("x"), F.col("own").alias("y"), F.col("set").alias("set2"), F.col("n").alias("n2"), F.col("root").alias("root2"), F.col("odd").alias("odd2"))
     apart = (F.col("root") < F.col("root2")) | ((F.col("x") < F.col("y")) & (F.col("root") > F.col("root2")))  # inside a chunk both orders stand
-    cross = left.join(right, ["cell", "x", "y"]).where(apart & _alike("n", "n2")).select(*pair("set", "set2")).distinct()
+    cross = left.join(right, ["cell", "x", "y"]).where(apart & _may_be_alike("n", "n2", "odd", "odd2")).select(*pair("set", "set2")).distinct()
     more = cut(_verified(cross, arrays), "near-more")
     roots = joined if more.isEmpty() else components(links.union(more))
     known = numbered.select("key", "set").join(roots.select(F.col("node").alias("set"), "root"), "set", "left").select(F.col("key").alias("set"), F.coalesce("root", "set").alias("root"))

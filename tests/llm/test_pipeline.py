@@ -52,3 +52,32 @@ def test_variants_of_a_text_are_joined_by_way_of_it(spark, monkeypatch):
     monkeypatch.setattr(simhash_dedup, "cut", lambda df, tag, *more: made.setdefault(tag, plain(df, tag, *more)))
     assert simhash_dedup.near_copies(docs).select("root").distinct().count() == 1
     assert made["near-crowd"].count() < 41  # no cell's members are left to be compared with each other
+
+
+def test_a_crowd_of_unlike_texts_is_settled_without_its_shingles(spark, monkeypatch):
+    """Variants of a text that are too different for each other meet by bands; their parities tell them apart."""
+    rng = np.random.default_rng(21)
+    words = np.array([f"w{k}" for k in range(5000)])
+    base = rng.choice(words, 400)
+    texts = []
+    for _ in range(60):
+        own = base.copy()
+        own[rng.choice(400, 24, replace=False)] = rng.choice(words, 24)  # two variants have a similarity of about 0.4
+        texts.append(" ".join(own))
+    texts.append(texts[7] + " and more")
+    fetched, real = [], simhash_dedup._verified
+    monkeypatch.setattr(simhash_dedup, "_verified", lambda pairs, arrays: fetched.append(pairs.count()) or real(pairs, arrays))
+    docs = spark.createDataFrame([(k, str(k), t) for k, t in enumerate(texts)], "doc_id bigint, row string, text string")
+    roots = {r["doc_id"]: r["root"] for r in simhash_dedup.near_copies(docs).collect()}
+    sets = [set(simhash_dedup.shingles(t).tolist()) for t in texts]
+    alike = {(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert alike == {(7, 60)} and roots[7] == roots[60] and len(set(roots.values())) == 60
+    assert len(fetched) == 2 and fetched[1] <= 5  # of 1,800 pairs in all
+
+
+def test_parities_never_differ_in_more_places_than_the_sets_do():
+    rng = np.random.default_rng(22)
+    for n, own in ((1, 0), (5, 1), (300, 30), (3000, 600), (20_000, 2)):
+        common, a, b = (rng.integers(0, 2**64, size=k, dtype=np.uint64) for k in (n, own, own))
+        x, y = (simhash_dedup.parities(np.unique(np.concatenate([common, z]))) for z in (a, b))
+        assert len(x) == simhash_dedup.PARITIES // 64 and np.bitwise_count((x ^ y).view(np.uint64)).sum() <= 2 * own
