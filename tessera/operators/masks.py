@@ -12,7 +12,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -199,10 +199,16 @@ def link_chunks(rows: DataFrame, keys: list[str], least: float = 0.3, cell: int
     chunks have the mean of their masks' IoU over the frames that show both; the one-to-one links with the largest sum, of at
     least ``least`` each, join pieces, named by the smallest "chunk:local". Of a frame that two chunks show the earlier one's rows stay.
     """
-    rows = cut(rows.select(*keys, "chunk", "frame", "local", *BOX, "mask"), "chunk-rows")
-    nxt = other(rows, [*keys, "frame"]).withColumn("chunk", F.col("chunkr") - 1)
-    seen = rows.select(*keys, "chunk", "frame", "local").join(nxt.select(*keys, "chunk", "frame", "localr"), [*keys, "chunk", "frame"]).groupBy(*keys, "chunk", "local", "localr").agg(F.count("*").alias("n"))
-    met = mask_overlap(overlapping(rows, nxt, [*keys, "chunk", "frame"], cell), [*keys, "chunk", "local", "localr"])
+    # what a frame's chunks are is told once: only rows of frames that a neighbouring chunk shows, too, are compared
+    chunks = F.collect_set("chunk").over(Window.partitionBy(*keys, "frame"))
+    rows = rows.select(*keys, "chunk", "frame", "local", *BOX, "mask", chunks.alias("_chunks"))
+    on = [F.expr(f"coalesce(array_contains(_chunks, chunk {step} 1), false)").alias(name) for step, name in (("+", "_later"), ("-", "_earlier"))]
+    rows = cut(rows.select(*rows.columns, *on, (F.array_min("_chunks") == F.col("chunk")).alias("_first")).drop("_chunks"), "chunk-rows")
+    plain = rows.columns[:-3]
+    early = rows.where("_later").select(*plain)
+    nxt = other(rows.where("_earlier").select(*plain), [*keys, "frame"]).withColumn("chunk", F.col("chunkr") - 1)
+    seen = early.select(*keys, "chunk", "frame", "local").join(nxt.select(*keys, "chunk", "frame", "localr"), [*keys, "chunk", "frame"]).groupBy(*keys, "chunk", "local", "localr").agg(F.count("*").alias("n"))
+    met = mask_overlap(overlapping(early, nxt, [*keys, "chunk", "frame"], cell), [*keys, "chunk", "local", "localr"])
     total = met.where("inter > 0").groupBy(*keys, "chunk", "local", "localr").agg(F.sum(F.col("inter") / (F.col("area") + F.col("arear") - F.col("inter"))).alias("s"))
     mean = total.join(seen, [*keys, "chunk", "local", "localr"]).select(*keys, "chunk", F.col("local").alias("a"), F.col("localr").alias("b"), (F.col("s") / F.col("n")).alias("weight"))
     links = cut(assign_pairs(mean, [*keys, "chunk"]).where(F.col("weight") >= least), "chunk-links")
@@ -210,6 +216,6 @@ def link_chunks(rows: DataFrame, keys: list[str], least: float = 0.3, cell: int
     roots = components(links.select(name(F.col("chunk"), F.col("a")).alias("a"), name(F.col("chunk") + 1, F.col("b")).alias("b"))).withColumnRenamed("node", "_name")
     ids = rows.select(*keys, "chunk", "local").distinct().withColumn("_name", name(F.col("chunk"), F.col("local")))
     pieces = cut(ids.join(roots, "_name", "left").select(*keys, "chunk", "local", F.coalesce("root", "_name").alias("piece")), "chunk-pieces")
-    shown = rows.select(*keys, "frame", F.col("chunk")).distinct().groupBy(*keys, "frame").agg(F.min("chunk").alias("chunk"))
-    owned = rows.join(shown, [*keys, "frame", "chunk"]).join(pieces, [*keys, "chunk", "local"]).select(*keys, "chunk", "frame", "local", "piece")
+    known = reduce(Column.__and__, [F.col(k).isNotNull() for k in [*keys, "frame"]])
+    owned = rows.where(F.col("_first") & known).select(*keys, "chunk", "frame", "local").join(pieces, [*keys, "chunk", "local"]).select(*keys, "chunk", "frame", "local", "piece")
     return pieces, owned

@@ -139,3 +139,18 @@ def test_pieces_through_chunks(spark):
     assert {(r["chunk"], r["local"]): r["piece"] for r in pieces.collect()} == text
     assert {(r["chunk"], r["frame"], r["local"], r["piece"]) for r in owned.collect()} == {(c, f, b, text[c, b]) for c, f, b, _ in stay}
     assert len(set(text.values())) < len(text)
+
+
+def test_only_frames_that_two_chunks_show_are_compared(spark, monkeypatch):
+    """Rows of other frames can't meet anything: with their masks they needn't be dealt to the grid."""
+    full = masks.pack(np.ones((4, 4)))
+    rows = [(1, c, f, who, 8 * who, 0, 8 * who + 4, 4, full) for c in range(3) for f in range(10 * c, 10 * c + 12) for who in range(5)]
+    rows += [(None, 0, 11, 0, 0, 0, 4, 4, full), (1, 0, None, 0, 0, 0, 4, 4, full)]
+    df = spark.createDataFrame(rows, "film int, chunk bigint, frame bigint, local bigint, x0 bigint, y0 bigint, x1 bigint, y1 bigint, mask binary")
+    given, real = [], masks.overlapping
+    monkeypatch.setattr(masks, "overlapping", lambda left, right, *more: given.append((left.count(), right.count())) or real(left, right, *more))
+    pieces, owned = masks.link_chunks(df, ["film"])
+    assert given == [(20, 20)]  # two frames of five people at each of two seams
+    assert {(r["chunk"], r["local"]): r["piece"] for r in pieces.where("film = 1").collect()} == {(c, who): f"1|{0:012d}:{who}" for c in range(3) for who in range(5)}
+    first = {(f, who): min(c for c in range(3) if 10 * c <= f < 10 * c + 12) for f in range(32) for who in range(5)}
+    assert {(r["frame"], r["local"]): r["chunk"] for r in owned.collect()} == first and owned.count() == len(first)
