@@ -25,15 +25,16 @@ def stale_tracks(tracks: DataFrame, edits: DataFrame) -> DataFrame:
     return edits.where("print is not null").select("day", "track", "print").distinct().join(tracks.select("day", "track", "fp"), ["day", "track"]).where("print <> fp").select("day", "track").distinct()
 
 
-def live_edits(tracks: DataFrame, edits: DataFrame) -> DataFrame:
+def live_edits(tracks: DataFrame, edits: DataFrame, stale: DataFrame | None = None) -> DataFrame:
     """The edits that count: of known tracks that aren't stale (marks of missed people name no track), and not undone.
 
     An undo takes back the last edit before it, once; an undo after an undo finds nothing.
     """
+    stale = stale_tracks(tracks, edits) if stale is None else stale
     w = Window.partitionBy("day").orderBy("seq")  # a day's edits, made by hand
     told = edits.withColumn("_next", F.lead("action").over(w)).where("action <> 'undo' and coalesce(_next, '') <> 'undo'").drop("_next")
     known = told.join(tracks.select("day", "track", F.lit(True).alias("_known")), ["day", "track"], "left").where("_known or track is null").drop("_known")
-    return known.join(stale_tracks(tracks, edits), ["day", "track"], "left_anti")
+    return known.join(stale, ["day", "track"], "left_anti")
 
 
 def parts(tracks: DataFrame, live: DataFrame) -> DataFrame:
@@ -87,21 +88,25 @@ def people(tracks: DataFrame, links: DataFrame, edits: DataFrame) -> DataFrame:
     nobody. A person is named by the smallest of their parts; the last word on the kind of any of a person's parts holds
     (else: customer).
     """
-    live = cut(live_edits(tracks, edits), "film-live")
+    tracks, edits = cut(tracks, "film-tracks"), cut(edits, "film-edits")  # each is read many times
+    stale = cut(stale_tracks(tracks, edits), "film-stale")
+    live = cut(live_edits(tracks, edits, stale), "film-live")
     own = cut(parts(tracks, live), "film-parts")
     false = cut(_toggled(live).withColumn("false", F.lit(True)), "film-false")
     real = own.join(false.select("day", "part"), ["day", "part"], "left_anti")
     w = Window.partitionBy("day", "track").orderBy("first")
-    onward = real.withColumn("next", F.lead("part").over(w)).withColumn("away", F.lead("detached").over(w)).where("not away").select("day", F.col("part").alias("a"), F.col("next").alias("b"))
-    ends = real.withColumn("k", F.row_number().over(Window.partitionBy("day", "track").orderBy(F.desc("first")))).where("k = 1").select("day", F.col("track").alias("a"), F.col("part").alias("pa"))
-    heads = real.withColumn("k", F.row_number().over(w)).where("k = 1 and not detached").select("day", F.col("track").alias("b"), F.col("part").alias("pb"))
+    walked = real.select("*", F.lead("part").over(w).alias("next"), F.lead("detached").over(w).alias("away"), F.row_number().over(w).alias("k"))
+    walked = cut(walked, "film-walked")
+    onward = walked.where("not away").select("day", F.col("part").alias("a"), F.col("next").alias("b"))
+    ends = walked.where("next is null").select("day", F.col("track").alias("a"), F.col("part").alias("pa"))
+    heads = walked.where("k = 1 and not detached").select("day", F.col("track").alias("b"), F.col("part").alias("pb"))
     linked = links.join(ends, ["day", "a"]).join(heads, ["day", "b"]).select("day", F.col("pa").alias("a"), F.col("pb").alias("b"))
     said = live.where("action = 'same'").select("day", F.col("part").alias("a"), F.col("target").alias("b"))
     name = lambda c: F.concat_ws("|", F.col("day").cast("string"), F.col(c))
     pairs = onward.unionByName(linked).unionByName(said)
     roots = cut(components(pairs.select(name("a").alias("a"), name("b").alias("b"))), "film-roots")
-    out = own.withColumn("node", name("part")).join(roots, "node", "left").join(false, ["day", "part"], "left").join(stale_tracks(tracks, edits).withColumn("stale", F.lit(True)), ["day", "track"], "left")
-    out = out.withColumn("person", F.when(F.col("false").isNull(), F.coalesce("root", "node")))
+    out = own.withColumn("node", name("part")).join(roots, "node", "left").join(false, ["day", "part"], "left").join(stale.withColumn("stale", F.lit(True)), ["day", "track"], "left")
+    out = cut(out.withColumn("person", F.when(F.col("false").isNull(), F.coalesce("root", "node"))), "film-out")
     kinds = live.where("action = 'kind'").join(out.where("person is not null").select("day", "part", "person"), ["day", "part"]).groupBy("person").agg(F.max_by("kind", "seq").alias("kind"))
     no = F.lit(False)
     return out.join(kinds, "person", "left").select(

@@ -119,3 +119,21 @@ def test_a_second_mark_on_the_spot_takes_the_first_back(spark, shop):
     rows = [(1, 0, "missed", None, "cam1", 700.0, 300.0, 200.0), (1, 1, "missed", None, "cam1", 700.5, 305.0, 210.0), (1, 2, "missed", None, "cam2", 700.0, 1.0, 1.0), (1, 3, "missed", None, "cam1", 700.0, 300.0, 200.0), (1, 4, "missed", None, "cam1", 702.0, 300.0, 200.0), (1, 5, "badmask", "w1:0", "w1:0@", 50.0, None, None), (1, 6, "badmask", "w1:0", "w1:0@", 51.0, None, None), (1, 7, "badmask", "w1:1", "w1:1@", 51.0, None, None)]
     marks = film_edits.marks(spark.createDataFrame(rows, "day int, seq bigint, action string, track string, part string, at double, x double, y double"))
     assert sorted((r["kind"], r["place"], r["at"]) for r in marks.collect()) == [("badmask", "w1:1@", 51.0), ("missed", "cam1", 700.0), ("missed", "cam1", 702.0), ("missed", "cam2", 700.0)]
+
+
+def test_edits_and_tracks_are_derived_once(spark, shop):
+    """Windows over the whole log stand behind them: they were derived again for every use."""
+    tracks, links = shop
+    edits = spark.createDataFrame([(1, 0, "split", "w2:0", "w2:0@", None, 650.0, None, "f3"), (1, 1, "same", "w1:1", "w1:1@", "w1:2@", None, None, "f1")], EDITS)
+    seen = [spark.sparkContext.accumulator(0) for _ in range(2)]
+
+    def counted(df, total):
+        def run(frames):
+            for f in frames:
+                total.add(len(f))
+                yield f
+
+        return df.mapInPandas(run, df.schema)
+
+    got = film_edits.people(counted(tracks, seen[0]), links, counted(edits, seen[1])).collect()
+    assert len(got) == 5 and [x.value for x in seen] == [4, 2]
