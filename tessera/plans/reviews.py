@@ -37,10 +37,73 @@ def _always_apart(code, size, left, right):
     return pair, common[pair], common[pair]
 
 
+def _ranges(low, high):
+    """The whole numbers from each ``low`` to before its ``high``, one stretch after the other."""
+    n = high - low
+    return np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)
+
+
+def _apart_blocks(left, right, same):
+    """As ``_always_apart``, a left user at a time: near meetings lie in stretches of an hour's values, so only codes are read."""
+    lk, ls, low, high = (c[np.argsort(left[0], kind="stable")] for c in left)
+    null = right[2] == pair_blocks.NULL
+    odd = null | (right[2] != right[3])  # not one known value: compared one by one
+    hours, rank = np.unique(right[1], return_inverse=True)
+    points = right[2][~odd]
+    least, most = (int(points.min()), int(points.max())) if len(points) else (0, 0)
+    if most - least > 2**62 // (len(hours) + 1):
+        yield from pair_blocks._pairs(left, right, same, _always_apart)
+        return
+    width = most - least + 3
+    place = rank * width + np.where(odd, width - 1, right[2] - least + 1)
+    order = np.argsort(place, kind="stable")
+    place, null = place[order], null[order]
+    keys, code = np.unique(right[0], return_inverse=True)
+    code, olow, ohigh = code[order], right[2][order], right[3][order]
+    # the hour's rows, its odd ones and the near stretch of each left row
+    hour = np.minimum(np.searchsorted(hours, ls), len(hours) - 1)
+    met, unknown = hours[hour] == ls, low == pair_blocks.NULL
+    floor = np.where(unknown, least, np.clip(low, least - 9000, most + 9000)) - 2000
+    ceil = np.where(unknown, most, np.clip(high, least - 9000, most + 9000)) + 2000
+    asked = [hour * width, hour * width + np.clip(floor - least + 1, 0, width - 1), hour * width + np.clip(ceil - least + 2, 1, width - 1), hour * width + width - 1, (hour + 1) * width]
+    by = np.argsort(asked[1], kind="stable")
+    found = []
+    for a in asked:
+        at = np.zeros(len(ls), np.int64)
+        at[by] = np.searchsorted(place, a[by], "left")
+        found.append(np.where(met, at, 0))
+    begin, near, near_end, others, end = found
+    near_end = np.maximum(near, near_end)
+    begins = np.flatnonzero(np.diff(lk, prepend=lk[0] - 1)) if len(lk) else np.empty(0, np.int64)
+    out, n = [], 0
+    for a, b in zip(begins, [*begins[1:], len(lk)], strict=True):
+        common = np.bincount(np.concatenate([code[x:y] for x, y in zip(begin[a:b].tolist(), end[a:b].tolist(), strict=True)]), minlength=len(keys))
+        good = common >= 2
+        good[np.concatenate([code[x:y] for x, y in zip(near[a:b].tolist(), near_end[a:b].tolist(), strict=True)])] = False
+        at, row = _ranges(others[a:b], end[a:b]), np.repeat(np.arange(a, b), end[a:b] - others[a:b])
+        apart = ((low[row] - ohigh[at] > 2000) | (olow[at] - high[row] > 2000)) & ~unknown[row] & ~null[at]
+        good[code[at[~apart]]] = False
+        pair = np.flatnonzero(good)
+        if same:
+            pair = pair[keys[pair] > lk[a]]
+        out.append((np.full(len(pair), lk[a]), keys[pair], common[pair]))
+        n += len(pair)
+        if n >= pair_blocks.MEETINGS // 4:
+            yield from _ordered(out)
+            out, n = [], 0
+    if n:
+        yield from _ordered(out)
+
+
+def _ordered(parts):
+    p, q, common = (np.concatenate(c) for c in zip(*parts, strict=True))
+    yield np.minimum(p, q), np.maximum(p, q), common, common
+
+
 def cannot_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of users that cannot be one person: seen in the same hour at least twice, values over 20 apart each time."""
     hourly = _cents(spark, sf_dir).groupBy("user_id", F.expr(f"us div {HOUR}").alias("hour")).agg(F.min("cents").alias("low"), F.max("cents").alias("high"))
-    return pair_blocks.fold_pairs(hourly, "user_id", "hour", ["low", "high"], _always_apart, "user_id bigint, other bigint, common bigint, apart bigint")
+    return pair_blocks.fold_pairs(hourly, "user_id", "hour", ["low", "high"], _always_apart, "user_id bigint, other bigint, common bigint, apart bigint", _apart_blocks)
 
 
 CANNOT_SQL = f"""WITH {CENTS}, h AS (SELECT user_id, us // {HOUR} AS hour, min(cents) AS low, max(cents) AS high FROM k GROUP BY user_id, us // {HOUR})
